@@ -56,9 +56,64 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarn.llm.html import extract_main_text
+
+    return extract_main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def _classified(spark: SparkSession, sf_dir: str, train, threshold: float) -> DataFrame:
+    from tarn.llm.fitting import id_remainder
+    from tarn.llm.toxicity import score_texts
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score_texts(docs, model).select(
+        "doc_id",
+        (id_remainder("doc_id", 3) == 1).alias("held_out"),
+        "score",
+        (F.col("score") >= threshold).cast("int").alias("predicted"),
+    )
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarn.llm.toxicity import train_toxicity
+
+    return _classified(spark, sf_dir, train_toxicity, 0.7)
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarn.llm.quality import train_quality
+
+    return _classified(spark, sf_dir, train_quality, 0.5)
+
+
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarn.llm.chat import format_conversations, linear_tree, read_back
+
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], rows.schema)
+    return read_back(format_conversations(linear_tree(rows.unionAll(more))))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarn.llm.fitting import id_remainder
+    from tarn.llm.language import identify_language, train_language
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    found = identify_language(docs, train_language(docs))
+    return found.select("doc_id", (id_remainder("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_toxicity": op2_toxicity,
     "op3_exact_dedup": op3_exact_dedup,
+    "op5_html_extraction": op5_html_extraction,
     "op6_packing": op6_packing,
+    "op7_quality": op7_quality,
+    "op8_chat_formatting": op8_chat_formatting,
+    "op9_language_id": op9_language_id,
     "op10_decontamination": op10_decontamination,
 }
