@@ -56,6 +56,19 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarn.llm.repeats import remove_repeats
+
+    found = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        F.expr("aggregate(removed, 0L, (n, s) -> n + s.end - s.start)").alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tarn.llm.html import extract_main_text
 
@@ -110,6 +123,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_toxicity": op2_toxicity,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_html_extraction": op5_html_extraction,
     "op6_packing": op6_packing,
     "op7_quality": op7_quality,
