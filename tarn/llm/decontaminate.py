@@ -192,15 +192,18 @@ class Phrases:
         run_doc = np.array([d for d, _ in where])
         run_at = np.array([a for _, a in where])
         docs, starts, ends, phrases = [], [], [], []
-        for k in np.flatnonzero(low < high).tolist():
-            for at in range(int(low[k]), int(high[k]), 1 << 20):
-                places = index.locate(np.arange(at, min(at + (1 << 20), int(high[k])), dtype=np.int64))
-                run = np.searchsorted(run_starts, places, side="right") - 1
-                begin = run_at[run] + places - run_starts[run]
-                docs.append(run_doc[run])
-                starts.append(begin)
-                ends.append(begin + self.lengths[k])
-                phrases.append(np.full(len(run), k))
+        sizes = high - low
+        before = np.cumsum(sizes) - sizes
+        for at in range(0, int(sizes.sum()), 1 << 20):
+            number = np.arange(at, min(at + (1 << 20), int(sizes.sum())))
+            phrase = np.searchsorted(before, number, side="right") - 1
+            places = index.locate(low[phrase] + number - before[phrase])
+            run = np.searchsorted(run_starts, places, side="right") - 1
+            begin = run_at[run] + places - run_starts[run]
+            docs.append(run_doc[run])
+            starts.append(begin)
+            ends.append(begin + self.lengths[phrase])
+            phrases.append(phrase)
         if not docs:
             return out
         doc, start, end, phrase = map(np.concatenate, (docs, starts, ends, phrases))
