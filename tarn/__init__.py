@@ -9,6 +9,8 @@ _HOMES = {
     "tarn.errors": ("ErrorCode", "ErrorDetail", "TarnError"),
     "tarn.operators.semantic": ("Candidate", "CostHint", "PowerRecall", "Semantics", "Usage", "Verdict"),
     "tarn.plans.policy": ("Guards", "Limits"),
+    "tarn.plans.terms": ("Term", "register_term"),
+    "tarn.sources.readers": ("register_reader",),
 }
 
 __all__ = [name for names in _HOMES.values() for name in names]

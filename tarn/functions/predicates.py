@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarn.plans.request import Comparison, Group, Negation
+from tarn.plans.terms import TERMS, Custom
 
 LONG = range(-(1 << 63), 1 << 63)
 WHOLE = re.compile(r"\s*[+-]?\d+\s*\Z")
@@ -73,6 +74,8 @@ def condition(where: Any, column: Callable[[str], Column], kind: Callable[[str],
     """A bound filter as one column over the fields that ``column`` finds."""
     if isinstance(where, Comparison):
         return compare(column(where.field), kind(where.field), where)
+    if isinstance(where, Custom):
+        return TERMS[where.key].column(where.body, column)
     if isinstance(where, Negation):
         return ~condition(where.member, column, kind)
     if isinstance(where, Group):

@@ -12,6 +12,7 @@ from tarn.catalog import Catalog, Dataset, Field, LogicalType
 from tarn.errors import refuse
 from tarn.plans.policy import Limits
 from tarn.plans.request import ABSENT, Comparison, Constraints, Group, Meaning, Negation, Request, Step
+from tarn.plans.terms import TERMS, Custom
 
 NULL_TESTS = {"is_null", "is_not_null"}
 LISTS = {"in", "not_in"}
@@ -79,6 +80,8 @@ def fields_of(where: Any) -> set[str]:
         return set()
     if isinstance(where, (Comparison, Meaning)):
         return {where.field}
+    if isinstance(where, Custom):
+        return set(where.fields)
     return set().union(*map(fields_of, where.members if isinstance(where, Group) else (where.member,)))
 
 
@@ -174,6 +177,11 @@ class Binder:
             return replace(node, member=self._filter(spec, name, node.member))
         if isinstance(node, Meaning):
             return self._meaning(spec, name, node)
+        if isinstance(node, Custom):
+            used = TERMS[node.key].bind(node.body, spec, f"{node.at}.{node.key}")
+            for one in used:
+                public_field(spec, name, one, f"{node.at}.{node.key}")
+            return replace(node, fields=frozenset(used))
         kind = public_field(spec, name, node.field, f"{node.at}.field").type
         if not allowed(node.operator, kind):
             refuse("query_operator_not_supported", f"'{node.operator}' does not apply to fields of type '{kind}'.", f"{node.at}.op")

@@ -10,6 +10,7 @@ from typing import Any
 from tarn.catalog import Catalog
 from tarn.plans.binding import Bound, Side
 from tarn.plans.request import Comparison, Group, Meaning
+from tarn.plans.terms import Custom
 
 
 def digest(payload: Any) -> str:
@@ -24,6 +25,8 @@ def _filter(where: Any, values: bool) -> Any:
         return [where.field, where.operator, *([where.value] if values else [])]
     if isinstance(where, Meaning):
         return ["semantic", where.field, *([where.proposition] if values else [])]
+    if isinstance(where, Custom):
+        return [where.key, sorted(where.fields), *([where.body] if values else [])]
     if isinstance(where, Group):
         members = [_filter(m, values) for m in where.members]
         return {where.kind: sorted(members, key=lambda m: json.dumps(m, sort_keys=True, default=str))}

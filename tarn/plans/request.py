@@ -10,6 +10,7 @@ from typing import Any
 
 from tarn.errors import refuse
 from tarn.plans.policy import Limits
+from tarn.plans.terms import TERMS, Custom
 
 OPERATORS = ("eq", "ne", "in", "not_in", "is_null", "is_not_null", "gt", "gte", "lt", "lte", "contains", "starts_with")
 ALIAS = re.compile(r"[A-Za-z][A-Za-z0-9_]{0,39}\Z")
@@ -127,9 +128,11 @@ class FilterReader:
             refuse("query_limit_invalid", f"Filters have at most {self.limits.maximum_terms} terms.", at)
         if not isinstance(value, Mapping):
             refuse("query_shape_invalid", f"'{at}' must be an object.", at)
-        if special := [k for k in ("semantic", "all", "any", "not") if k in value]:
+        if special := [k for k in ("semantic", "all", "any", "not", *TERMS) if k in value]:
             if len(value) > 1:
                 refuse("query_expression_invalid", f"'{special[0]}' must stand alone in its object.", at)
+            if special[0] in TERMS:
+                return Custom(special[0], TERMS[special[0]].read(value[special[0]], f"{at}.{special[0]}"), at)
             return getattr(self, f"_{special[0]}")(value[special[0]], at, depth)
         keys = _keys(value, at, "field op value")
         name, operator = _name(keys.get("field"), f"{at}.field"), _name(keys.get("op"), f"{at}.op")

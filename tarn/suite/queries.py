@@ -12,8 +12,10 @@ from tarn.catalog import Metric, build_catalog
 from tarn.errors import TarnError
 from tarn.operators.nearest import find_binding, nearest
 from tarn.operators.scan import key_lookup, scan
+from tarn.plans.capabilities import capabilities
 from tarn.plans.fingerprints import catalog_fingerprint
 from tarn.plans.policy import Guards
+from tarn.plans.terms import Term, register_term
 from tarn.sources.connections import Connections
 from tarn.sources.inspection import inspect_source
 from tarn.suite.tables import DATASETS, database, documents, proposition_vector
@@ -621,6 +623,43 @@ CASES["fingerprints"] = Case(
 )
 
 
+def _capabilities(spark: SparkSession, sf: str) -> DataFrame:
+    found = [(c.operator, c.kind, c.support) for c in capabilities() if c.kind in ("parquet", "postgres", "neo4j")]
+    return rows(spark, "operator string, kind string, support string", found)
+
+
+_DOES = {"parquet": "scan project filter", "postgres": "scan project filter key_lookup order limit top_k", "neo4j": ""}
+_EVERY = "scan project filter key_lookup order limit top_k vector_search combine join semantic_verify"
+CASES["capabilities"] = Case(
+    _capabilities,
+    values(
+        "operator, kind, support",
+        [(o, k, "none" if k == "neo4j" else "source" if o in done.split() else "engine") for k, done in _DOES.items() for o in _EVERY.split()]
+        + [(o, k, "planned") for k in _DOES for o in ("aggregate", "group_by", "distinct", "union", "multi_hop")],
+    ),
+)
+
+
+def _custom_term(spark: SparkSession, sf: str) -> DataFrame:
+    """A caller's own filter term, registered and used like the built-in ones."""
+    register_term(
+        Term(
+            "between",
+            lambda body, at: (body["field"], body["low"], body["high"]),
+            lambda body, spec, at: frozenset({body[0]}),
+            lambda body, column: column(body[0]).between(body[1], body[2]),
+        )
+    )
+    where = {"all": [{"between": {"field": "length", "low": 500, "high": 900}}, {"not": {"between": {"field": "toxic", "low": 1, "high": 1}}}]}
+    return database(spark, sf).query({"from": {"dataset": "document"}, "select": ["length"], "where": where, "page": {"first": 500}}).dataframe
+
+
+CASES["custom_term"] = Case(
+    _custom_term,
+    f"SELECT id, length FROM ({DOCUMENT}) WHERE length BETWEEN 500 AND 900 AND NOT toxic BETWEEN 1 AND 1 ORDER BY id LIMIT 500",
+)
+
+
 def _explain(spark: SparkSession, sf: str) -> DataFrame:
     found = database(spark, sf).explain(on("document", select=["lang"], where={"all": [f("quality", "eq", 1), f("lang", "eq", "en")]}))
     return rows(spark, "kind string, location string", [(n.kind, n.location) for n in found.nodes])
