@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.errors import ExecutionError, QueryError
-from tarn.operators.assemble import assemble, filter_of, owners
+from tarn.operators.assemble import assemble, enrich, late_sources, owners
 from tarn.operators.nearest import find_binding, nearest
 from tarn.operators.page import ordering, page, project
 from tarn.operators.relate import named, relate
@@ -32,7 +32,7 @@ from tarn.operators.semantic import (
     embed_proposition,
     verify_candidates,
 )
-from tarn.plans.binding import Binder, Bound, Side
+from tarn.plans.binding import Binder, Bound, Side, fields_of
 from tarn.plans.explain import Explanation, explain
 from tarn.plans.fingerprints import catalog_fingerprint, query_fingerprint
 from tarn.plans.policy import Guards, Limits
@@ -137,6 +137,8 @@ class Engine:
         return explain(snapshot, bound, plans)
 
     def _build(self, snapshot: Snapshot, bound: Bound, reports: dict[int, Report], deadline: float | None) -> DataFrame:
+        if bound.link is None and bound.root.meaning is None:
+            return self._single(snapshot, bound)
         left = self._records(snapshot, bound, 0, reports, deadline)
         if bound.other is None or bound.link is None:
             guarded(left, self.guards.sorted_rows, "query_coordinator_limit_exceeded")
@@ -149,6 +151,22 @@ class Engine:
         columns += [(named("r_", f), f"{bound.link.alias}.{f}") for f in bound.other.select]
         return project(cut, columns)
 
+    def _single(self, snapshot: Snapshot, bound: Bound) -> DataFrame:
+        """One dataset: the page is cut before contributors join that only give fields to it.
+
+        So wide fields of all records are never shuffled for the sake of a page;
+        the cut page is sorted again after its joins.
+        """
+        side, order = bound.root, ordering(bound.order, lambda s: s.field)
+        parts = owners(snapshot, side)
+        late = late_sources(parts, fields_of(side.where) | {s.field for s in bound.order})
+        core = assemble(snapshot, side, self.guards, late)
+        guarded(core, self.guards.sorted_rows, "query_coordinator_limit_exceeded")
+        cut = page(core, order, bound.limit)
+        if late:
+            cut = page(enrich(cut, snapshot, side, parts, late, self.guards), order, bound.limit)
+        return project(cut, [(f, f) for f in side.select])
+
     def _records(self, snapshot: Snapshot, bound: Bound, place: int, reports: dict[int, Report], deadline: float | None) -> DataFrame:
         """One side's records: assembled, filtered and, with a semantic condition, verified."""
         side = (bound.root, bound.other)[place]
@@ -186,6 +204,3 @@ class Engine:
             store = key_lookup(store, filtered)
         ids = nearest(store, vector, plan.binding, plan.size).select("id")
         return filtered.join(ids, "id", "left_semi")
-
-
-__all__ = ["Engine", "QueryResult", "filter_of", "limited", "owners"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -37,10 +37,24 @@ def owners(snapshot: Snapshot, side: Side) -> Parts:
     return Parts(rule.identity_source, {s: tuple(f) for s, f in given.items()})
 
 
-def assemble(
-    snapshot: Snapshot, side: Side, guards: Guards = Guards(), anchor: Callable[[DataFrame], DataFrame] | None = None
-) -> DataFrame:
-    """The side's records with all needed fields, filtered.
+def late_sources(parts: Parts, used: set[str]) -> tuple[str, ...]:
+    """Contributors that neither filter nor order a query: they can join its page instead of all records."""
+    return tuple(s for s in parts.contributors if not used.intersection(parts.fields[s]))
+
+
+def enrich(frame: DataFrame, snapshot: Snapshot, side: Side, parts: Parts, sources: Iterable[str], guards: Guards) -> DataFrame:
+    """Left-join contributors on id."""
+    kind = frame.schema["id"].dataType
+    for source in sources:
+        more = guarded(scan(snapshot, source, side.dataset, ("id", *parts.fields[source])), guards.scan_rows)
+        if more.schema["id"].dataType != kind:
+            more = more.withColumn("id", F.col("id").try_cast(kind))
+        frame = frame.join(more, "id", "left")
+    return frame
+
+
+def assemble(snapshot: Snapshot, side: Side, guards: Guards = Guards(), without: tuple[str, ...] = ()) -> DataFrame:
+    """The side's records with all needed fields but those of the sources ``without``, filtered.
 
     Contributors are left-joined to the identity source on id, so a missing row
     reads as nulls and a contributor's own ids never appear.  The filter stands
@@ -49,14 +63,7 @@ def assemble(
     """
     parts = owners(snapshot, side)
     frame = guarded(scan(snapshot, parts.anchor, side.dataset, ("id", *(f for f in parts.fields[parts.anchor] if f != "id"))), guards.scan_rows)
-    if anchor is not None:
-        frame = anchor(frame)
-    kind = frame.schema["id"].dataType
-    for source in parts.contributors:
-        more = guarded(scan(snapshot, source, side.dataset, ("id", *parts.fields[source])), guards.scan_rows)
-        if more.schema["id"].dataType != kind:
-            more = more.withColumn("id", F.col("id").try_cast(kind))
-        frame = frame.join(more, "id", "left")
+    frame = enrich(frame, snapshot, side, parts, (s for s in parts.contributors if s not in without), guards)
     return frame if side.where is None else frame.where(filter_of(frame, side.where))
 
 

@@ -40,5 +40,5 @@ def guarded(frame: DataFrame, maximum: int | None, code: str = "query_row_limit_
 
 
 def key_lookup(frame: DataFrame, keys: DataFrame) -> DataFrame:
-    """The rows whose id is among ``keys``; Spark picks a broadcast or shuffled semi-join by size."""
-    return frame.join(keys.select("id").distinct(), "id", "left_semi")
+    """The rows whose id is among ``keys`` (repeats do no harm); Spark picks a broadcast or shuffled semi-join by size."""
+    return frame.join(keys.select("id"), "id", "left_semi")
