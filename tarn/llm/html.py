@@ -28,14 +28,24 @@ BLOCKS = CLOSES_P | {
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"ul", "ol", "dl", "table", "article", "main", "body", "html"}
 BOILERPLATE_TAGS = {"nav", "footer", "aside", "form", "dialog", "menu", "button", "head"}
+FOREIGN_TAGS = {"dialog", "head"}
 BOILERPLATE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "alertdialog", "dialog", "menu", "menubar", "toolbar"}
-BOILERPLATE_WORDS = {
-    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "alert", "banner", "breadcrumb", "breadcrumbs",
-    "comment", "comments", "consent", "cookie", "cookies", "copyright", "disqus", "footer", "gdpr", "login", "masthead",
-    "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "overlay", "pager", "pagination", "popup",
-    "promo", "promotion", "recommended", "related", "replies", "respond", "search", "share", "sharing", "sidebar",
-    "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget", "widgets",
+#: Names of what is never part of an article, wherever it stands.
+FOREIGN_WORDS = {
+    "ad", "ads", "adsense", "adslot", "advert", "adverts", "advertisement", "advertising", "comment", "commentform",
+    "commentlist", "comments", "disqus", "newsletter", "promo", "promotion", "recommended", "related", "replies", "respond",
+    "sponsor", "sponsored",
 }
+#: Names of a site's furniture; an article inside such an element is an article all the same.
+FURNITURE_WORDS = {
+    "alert", "banner", "breadcrumb", "breadcrumbs", "consent", "cookie", "cookiebar", "cookies", "copyright", "footer",
+    "gdpr", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "notice", "overlay", "pager", "pagination",
+    "popup", "search", "share", "sharing", "sidebar", "sidenav", "signup", "skip", "social", "subscribe", "toolbar", "topnav",
+    "widget", "widgets",
+}
+#: With one of these a name tells of a layout ("has-sidebar").
+LAYOUT_WORDS = {"has", "layout", "no", "with", "without"}
+HEADER_WORDS = {"global", "header", "main", "page", "site", "top"}
 MAIN = {"article", "main"}
 
 TAG = re.compile(
@@ -58,10 +68,13 @@ def attributes(rest: str) -> dict[str, str]:
 
 @dataclass
 class Element:
+    """``foreign``: boilerplate that no article inside it can leave."""
+
     tag: str
     key: str
     boilerplate: bool
     main: bool
+    foreign: bool = False
 
 
 @dataclass
@@ -90,19 +103,24 @@ def element(tag: str, rest: str, parent: Element) -> Element:
         role = found.get("role", "").lower()
         names = " ".join(filter(None, (found.get("class"), found.get("id"))))
     words = set(WORDS.findall(f"{CAMEL.sub(' ', names)} {names}".lower())) if names else set()
+    furniture = bool(words & FURNITURE_WORDS) and not words & LAYOUT_WORDS
+    header = "header" in words and words <= HEADER_WORDS
+    foreign = parent.foreign or hidden
     if tag in ("html", "body", "main"):
         noise = False
     else:
+        foreign = foreign or tag in FOREIGN_TAGS or bool(words & FOREIGN_WORDS)
         noise = (
             tag in BOILERPLATE_TAGS
-            or (tag == "header" and not parent.main)
             or role in BOILERPLATE_ROLES
-            or bool(words & BOILERPLATE_WORDS)
+            or furniture
+            or ((tag == "header" or header) and not parent.main)
         )
-    boilerplate = parent.boilerplate or noise or hidden
-    main = parent.main or ((tag in MAIN or role == "main") and not boilerplate)
+    starts = (tag in MAIN or role == "main") and not foreign and not parent.main
+    boilerplate = foreign or ((parent.boilerplate or noise) and not starts)
+    main = parent.main or starts
     sign = tag + "".join(f".{w}" for w in sorted(words)) + (f"@{role}" if role else "")
-    return Element(tag, f"{parent.key}/{sign}", boilerplate, main)
+    return Element(tag, f"{parent.key}/{sign}", boilerplate, main, foreign)
 
 
 def parse(source: str) -> Page:

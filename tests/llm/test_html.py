@@ -22,6 +22,12 @@ SITE = (
         ("<article><ul><li>a<li>b</ul><table><tr><td>c<td>d</table></article>", "a\nb\nc\nd"),
         ("<div class='post'><p>free</p></div><div class='sideBar'>no</div>", "free"),
         ("<article><p>1 < 2 and <unknown>x</unknown></p><p hidden>no</p></article>", "1 < 2 and x"),
+        ("<div class='layout with-sidebar'><article><p>in</p></article></div>", "in"),
+        ("<div id='nav-wrap' class='nav'><article><p>kept</p><div class='related'>no</div></article></div>", "kept"),
+        ("<div class='comments'><article><p>reader</p></article></div><article><p>text</p></article>", "text"),
+        ("<div id='header'><p>Site</p></div><div class='story'><p>free</p></div><ol class='commentlist'><li>no</ol>", "free"),
+        ("<article><div class='article-header'><h1>T</h1></div><aside><article>no</article></aside><p>b</p></article>", "T\nb"),
+        ("<form action='/'><div><article><p>page</p><form><input>no</form></article></div></form>", "page"),
         ("<article></article>", ""),
     ],
 )
