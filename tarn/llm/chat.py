@@ -135,13 +135,15 @@ def conversation_paths(
     ids = nodes.select("node", "parent")
     children = ids.where("parent IS NOT NULL").groupBy("parent").agg(F.count("*").alias("siblings"))
     known = ids.select(F.col("node").alias("parent"), F.lit(True).alias("known"))
-    links = ids.join(known, "parent", "left").join(children, "parent", "left").select(
-        "node", F.when(F.col("known"), F.col("parent")).alias("parent"), "siblings"
-    )
-    runs = _runs(ws, ws.table(links))
-    nodes = ws.table(
-        nodes.drop("parent").join(ws.table(links).select("node", "parent"), "node").join(runs, "node")
+    # Roots take no part in the joins on the parent: their null keys would all meet in one task.
+    replies = ids.where("parent IS NOT NULL").join(known, "parent", "left").join(children, "parent", "left")
+    links = ws.table(
+        replies.select("node", F.when(F.col("known"), F.col("parent")).alias("parent"), "siblings").unionAll(
+            ids.where("parent IS NULL").select("node", "parent", F.lit(None).cast("long").alias("siblings"))
+        )
     )
+    runs = _runs(ws, links)
+    nodes = ws.table(nodes.drop("parent").join(links.select("node", "parent"), "node").join(runs, "node"))
     ends = nodes.groupBy("head").agg(
         F.min(F.struct("far", "parent", "conv")).alias("first"),
         F.max(F.struct("far", "node")).alias("last"),
@@ -149,9 +151,11 @@ def conversation_paths(
         F.count("*").alias("n"),
     )
     above = runs.select(F.col("node").alias("up"), F.col("head").alias("above"))
-    segments = ws.table(
-        ends.select("head", F.col("first.parent").alias("up"), F.col("first.conv").alias("conv"), F.col("last.node").alias("tail"), "score", "n").join(above, "up", "left")
+    ends = ends.select(
+        "head", F.col("first.parent").alias("up"), F.col("first.conv").alias("conv"), F.col("last.node").alias("tail"), "score", "n"
     )
+    branches = ends.where("up IS NOT NULL").join(above, "up", "left").select(*ends.columns, "above")
+    segments = ws.table(branches.unionAll(ends.where("up IS NULL").withColumn("above", F.lit(None).cast("string"))))
     leaf = segments.join(ids.select(F.col("parent").alias("tail")).distinct(), "tail", "left_anti").select("head")
     segments = ws.table(segments.join(leaf.withColumn("leaf", F.lit(True)), "head", "left"))
     step = F.struct("head", F.lit(0).cast("long").alias("before"))
