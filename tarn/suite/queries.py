@@ -347,6 +347,26 @@ CASES["join_null_keys"] = Case(
 )
 
 
+def _null_keys_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """Null keys over whole tables: every document against one row for each quality, that of none among them."""
+    from tarn.operators.relate import relate
+    from tarn.plans.binding import Link
+
+    docs = database(spark, sf)._runtime.require_active()
+    ids, labels = scan(docs, "documents", "document", ("id",)), scan(docs, "labels", "document", ("id", "toxic", "quality"))
+    all_rows = ids.join(labels, "id", "left")
+    right = all_rows.groupBy("quality").agg(F.min("id").alias("id"))
+    joined = relate(all_rows.select("id", "toxic"), right, Link("x", "x", "toxic", "quality", True))
+    return joined.select(F.col("l_id").alias("id"), F.col("r_id").alias("other_id"))
+
+
+CASES["join_null_keys_whole"] = Case(
+    _null_keys_whole,
+    "WITH t AS (SELECT d.doc_id, l.toxic, l.quality FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id) "
+    "SELECT a.doc_id AS id, b.id AS other_id FROM t a LEFT JOIN (SELECT quality, min(doc_id) AS id FROM t GROUP BY quality) b ON a.toxic = b.quality",
+)
+
+
 def _case_db(spark: SparkSession, sf: str, semantic: str | None = None):
     """The suite's catalog with a dataset of labels that points at documents."""
     from tarn.client import connect
