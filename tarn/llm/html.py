@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tarn.llm.common import Workspace, addressed, map_rows, small_batches
 
 # Names and words of the HTML vocabulary.
-RAW = {"script", "style", "noscript", "template", "title", "textarea", "svg", "math", "iframe", "object", "select"}
+RAW = {"script", "style", "noscript", "template", "title", "textarea", "svg", "iframe", "object", "select"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 CLOSES_P = {
     "address", "article", "aside", "blockquote", "center", "details", "div", "dl", "fieldset", "figure", "footer",
@@ -30,7 +30,7 @@ SCOPES = {"ul", "ol", "dl", "table", "article", "main", "body", "html"}
 BOILERPLATE_TAGS = {"nav", "footer", "aside", "form", "dialog", "menu", "button", "head"}
 FOREIGN_TAGS = {"dialog", "head"}
 BOILERPLATE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "alertdialog", "dialog", "menu", "menubar", "toolbar"}
-#: Names of what is never part of an article, wherever it stands.
+#: Names of what is never part of an article, wherever it stands.  A name alone marks no article that stands by itself.
 FOREIGN_WORDS = {
     "ad", "ads", "adsense", "adslot", "advert", "adverts", "advertisement", "advertising", "comment", "commentform",
     "commentlist", "comments", "disqus", "newsletter", "promo", "promotion", "recommended", "related", "replies", "respond",
@@ -68,13 +68,14 @@ def attributes(rest: str) -> dict[str, str]:
 
 @dataclass
 class Element:
-    """``foreign``: boilerplate that no article inside it can leave."""
+    """``foreign``: boilerplate that no article inside it can leave; ``unseen``: by more than a name."""
 
     tag: str
     key: str
     boilerplate: bool
     main: bool
     foreign: bool = False
+    unseen: bool = False
 
 
 @dataclass
@@ -87,14 +88,21 @@ class Block:
 
 @dataclass
 class Page:
-    """A page's text blocks in order, and for each branch key the tags of its children."""
+    """A page's text blocks in order, and for each branch key the tags of its children.
+
+    ``articles``: for each outermost article, seen ones only, whether the name of an element around it is foreign.
+    """
 
     blocks: list[Block] = field(default_factory=list)
     children: dict[str, list[str]] = field(default_factory=dict)
+    articles: list[bool] = field(default_factory=list)
+
 
+def element(tag: str, rest: str, parent: Element, leaves: bool = False) -> Element:
+    """An element with its branch key: the path of tags, each with its class, id and role names.
 
-def element(tag: str, rest: str, parent: Element) -> Element:
-    """An element with its branch key: the path of tags, each with its class, id and role names."""
+    With ``leaves`` an article is one whatever the elements around it are named.
+    """
     if not rest.strip(" /"):
         names, hidden, role = "", False, ""
     else:
@@ -105,26 +113,34 @@ def element(tag: str, rest: str, parent: Element) -> Element:
     words = set(WORDS.findall(f"{CAMEL.sub(' ', names)} {names}".lower())) if names else set()
     furniture = bool(words & FURNITURE_WORDS) and not words & LAYOUT_WORDS
     header = "header" in words and words <= HEADER_WORDS
-    foreign = parent.foreign or hidden
+    outermost = (tag in MAIN or role == "main") and not parent.main
+    unseen = parent.unseen or hidden or tag in FOREIGN_TAGS
+    foreign = unseen or (parent.foreign and not (leaves and outermost))
     if tag in ("html", "body", "main"):
         noise = False
     else:
-        foreign = foreign or tag in FOREIGN_TAGS or bool(words & FOREIGN_WORDS)
+        foreign = foreign or (bool(words & FOREIGN_WORDS) and not words & LAYOUT_WORDS and not outermost)
         noise = (
             tag in BOILERPLATE_TAGS
             or role in BOILERPLATE_ROLES
             or furniture
             or ((tag == "header" or header) and not parent.main)
         )
-    starts = (tag in MAIN or role == "main") and not foreign and not parent.main
+    starts = outermost and not foreign
     boilerplate = foreign or ((parent.boilerplate or noise) and not starts)
     main = parent.main or starts
     sign = tag + "".join(f".{w}" for w in sorted(words)) + (f"@{role}" if role else "")
-    return Element(tag, f"{parent.key}/{sign}", boilerplate, main, foreign)
+    return Element(tag, f"{parent.key}/{sign}", boilerplate, main, foreign, unseen)
 
 
 def parse(source: str) -> Page:
-    """Blocks and branches of a page; unclosed and misplaced tags are mended as browsers do for the common cases."""
+    """Blocks and branches of a page; its only article is one whatever the elements around it are named."""
+    page = _parse(source, False)
+    return _parse(source, True) if page.articles == [True] else page
+
+
+def _parse(source: str, leaves: bool) -> Page:
+    """One reading; unclosed and misplaced tags are mended as browsers do for the common cases."""
     page, root = Page(), Element("", "", False, False)
     stack: list[Element] = [root]
     parts: list[str] = []
@@ -187,7 +203,9 @@ def parse(source: str) -> Page:
             if tag in MAIN:
                 close({"nav"}, MAIN)
         parent = stack[-1]
-        made = element(tag, m["rest"], parent)
+        made = element(tag, m["rest"], parent, leaves)
+        if not made.unseen and (made.main and not parent.main or made.foreign and tag in MAIN and not any(e.main or e.foreign and e.tag in MAIN for e in stack)):
+            page.articles.append(made.foreign)
         page.children.setdefault(parent.key, []).append(tag)
         if m["rest"].endswith("/") and tag in BLOCKS:
             continue
