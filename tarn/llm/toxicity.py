@@ -66,18 +66,24 @@ class ToxicityModel:
 
     def summary(self, text: str | None) -> np.ndarray:
         """A text's highest bag, its highest bag apart from that one, and the logarithm of its length."""
-        tops, words = [-12.0, -12.0], 0
+        tops, words, at, held = [], 0, 0, np.zeros(0)
         for block in word_blocks(text or "", BLOCK):
             buckets, owners, count = subwords(block.lower().encode("utf-8", "surrogatepass"))
             if count:
                 sums = np.bincount(owners, self.scores[buckets], minlength=count)
-                bags = bag_means(sums / np.maximum(np.bincount(owners, minlength=count), 1)) + self.bias
-                best = int(bags.argmax())
-                tops.append(float(bags[best]))
-                bags[max(0, best - BAG + 1) : best + BAG] = -12.0
-                tops.append(float(bags.max()))
+                # A block's last words go into the next one's bags, held[0] being word number ``at`` of the text.
+                held = np.concatenate([held, sums / np.maximum(np.bincount(owners, minlength=count), 1)])
                 words += count
-        first, second = sorted(tops)[: -3 : -1]
+                if len(held) >= BAG:
+                    bags = bag_means(held) + self.bias
+                    # At most 2 * BAG - 1 bags share a word with the highest one, itself included.
+                    tops += [(float(bags[k]), at + int(k)) for k in np.argsort(-bags, kind="stable")[: 2 * BAG]]
+                    at, held = at + len(held) - BAG + 1, held[len(held) - BAG + 1 :]
+        if not tops and len(held):
+            tops = [(float(bag_means(held)[0]) + self.bias, 0)]
+        tops.sort(key=lambda t: (-t[0], t[1]))
+        first = tops[0][0] if tops else -12.0
+        second = next((v for v, k in tops if abs(k - tops[0][1]) >= BAG), -12.0)
         return np.array([max(first, -12.0), max(second, -12.0), np.log1p(words)])
 
     def score(self, text: str | None) -> float:
