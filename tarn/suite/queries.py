@@ -437,6 +437,15 @@ meaning("semantic_shortlist", f"{_HELD} AND id IN ({_NEAR.format(k=20)})", "vect
 meaning("semantic_store_shortlist", f"{_HELD} AND id IN ({_NEAR.format(k=50)})", "vector_shortlist", first=5)
 meaning("semantic_min_quality", f"{_HELD} AND length(body) % 11 >= 5", "verify_all", constraints={"minimum_quality": 0.5})
 
+_NEAR_ALL = f"SELECT e.vec_id FROM embeddings e ORDER BY {DISTANCES[Metric.COSINE].format(v=VECTOR)}, e.vec_id LIMIT {{k}}"
+for _key, _first in (("semantic_shortlist_all", 2), ("semantic_store_shortlist_all", 5)):
+    ask(
+        _key,
+        {"from": {"dataset": "document"}, "select": ["lang"], "where": MEANS, "page": {"first": _first}},
+        f"SELECT id, lang FROM ({DOCUMENT}) WHERE contains(lower(body), 'on') AND id IN ({_NEAR_ALL.format(k=10 * _first)}) ORDER BY id LIMIT {_first}",
+        semantic="vector_shortlist",
+    )
+
 
 def _fallback(spark: SparkSession, sf: str) -> DataFrame:
     """Without an embedding provider a shortlist is not possible, and everything is verified."""
