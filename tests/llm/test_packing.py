@@ -1,26 +1,27 @@
 import random
+import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from tarn.llm import packing
+from tarn.llm import packing, queries
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 
 @pytest.fixture(scope="module")
 def plain():
-    tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+    return Tokenizer.from_file(PATH)
 
 
 def texts():
     rng = random.Random(11)
     pick = lambda n: "".join(rng.choice("ab c,.\n 1é漢🙂's") for _ in range(n))
-    return ["", None, "plain words here", "<|endoftext|>", "a" * 9000, " " * 7000, pick(20000)] + [
+    marked = lambda n: "".join(rng.choice(["<|endoftext|>", " ", "a", "\n", "<|", "|>", "x y"]) for _ in range(n))
+    more = [marked(rng.randrange(1, 200)) for _ in range(20)]
+    return [*more, "", None, "plain words here", "<|endoftext|>", "a <|endoftext|> b", "x  <|endoftext|>\n<|endoftext|><|endoftext|>  <|endoftext", "a" * 9000, " " * 7000, pick(20000)] + [
         pick(rng.randrange(1, 3000)) for _ in range(80)
     ]
 
@@ -84,3 +85,36 @@ def test_pieces_rebuild_documents(spark, plain):
     )
     assert sum(used.values()) / (256 * len(used)) > 0.8
     assert packing.pack_documents(frame.limit(0), PATH).count() == 0
+
+
+def test_other_files_are_run_by_their_own_library():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    other = Tokenizer.from_file(path)
+    for text in ("Plain words", "a <|endoftext|> b", ""):
+        assert packing.encode(path, text, 0).tolist() == [*other.encode(text, add_special_tokens=False).ids, 0]
+
+
+def test_query_equals_the_tokenizer(spark, plain, tmp_path):
+    """The registered query itself, its digests included, against the tokenizer's own ids."""
+    rows = [(k, t) for k, t in enumerate(texts())] + [(None, "x")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {}
+    for p in queries.op6_packing(spark, str(tmp_path)).collect():
+        found.setdefault(p.doc_id, []).append(p)
+    assert len(found) == len(rows)
+    used = {}
+    for doc, text in rows:
+        ids = np.array([*plain.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
+        at = 0
+        for p in sorted(found[doc], key=lambda p: p.start):
+            assert (p.start, p.doc_tokens) == (at, len(ids))
+            assert p.ids_crc32 == zlib.crc32(ids[at : at + p.length].tobytes())
+            used.setdefault(p.sequence_id, []).append((p.offset, p.length))
+            at += p.length
+        assert at == len(ids)
+    for pieces in used.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at <= 1024
