@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarn.llm.common import addressed, map_rows, small_batches, texts_as_bytes
+from tarn.llm.common import Rows, addressed, by_place, map_rows, picked, position, small_batches, texts_as_bytes
 
 #: A-Z to a-z; ASCII other than letters and digits to a space; bytes of other characters stay.
 FOLD = bytes(
@@ -20,6 +20,8 @@ FOLD = bytes(
 )
 
 SAMPLE = 8
+#: Occurrences that are located at once.
+LOT = 1 << 20
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -145,32 +147,41 @@ class FMIndex:
 
 
 class Phrases:
-    """The distinct windows of a block of benchmark items, in symbols of its own vocabulary."""
+    """The distinct windows of a block of benchmark items, in symbols of its own vocabulary.
+
+    ``matrix`` has a row a phrase, right-aligned; phrase k is in the items
+    ``owner[owner_at[k] : owner_at[k + 1]]``, as numbers into ``names``.
+    """
 
     def __init__(self, items: list[tuple[str | None, bytes]], window: int):
         self.window, self.symbol = window, {}
-        found: dict[tuple[bytes, ...], set[str]] = {}
+        self.names = sorted({name for name, _ in items if name is not None})
+        number = {n: k for k, n in enumerate(self.names)}
+        rows, owners = [np.zeros((0, window), np.int32)], [np.zeros(0, np.int64)]
         for name, text in items:
             words = words_of(text)
-            for at in range(max(1, len(words) - window + 1) if words else 0):
-                owners = found.setdefault(tuple(words[at : at + window]), set())
-                if name is not None:
-                    owners.add(name)
-        for phrase in found:
-            for word in phrase:
-                self.symbol.setdefault(word, len(self.symbol) + 1)
-        self.lengths = np.array([len(p) for p in found], dtype=np.int64)
-        self.matrix = np.zeros((len(found), window), dtype=np.int64)
-        for k, phrase in enumerate(found):
-            self.matrix[k, window - len(phrase) :] = [self.symbol[w] for w in phrase]
-        names = sorted({n for owners in found.values() for n in owners})
-        number = {n: k for k, n in enumerate(names)}
-        self.names = names
-        self.owners = [np.array(sorted(number[n] for n in owners), dtype=np.int64) for owners in found.values()]
-        self.least = int(self.lengths.min()) if found else 0
+            if words:
+                symbols = np.array([self.symbol.setdefault(w, len(self.symbol) + 1) for w in words], dtype=np.int32)
+                if len(symbols) < window:
+                    symbols = np.concatenate([np.zeros(window - len(symbols), np.int32), symbols])
+                rows.append(np.lib.stride_tricks.sliding_window_view(symbols, window))
+                owners.append(np.full(len(rows[-1]), number.get(name, -1)))
+        every = np.ascontiguousarray(np.concatenate(rows))
+        _, first, phrase = np.unique(every.view(f"V{4 * window}").ravel(), return_index=True, return_inverse=True)
+        self.matrix = every[first]
+        self.lengths = np.count_nonzero(self.matrix, axis=1).astype(np.int64)
+        pairs = np.unique(np.column_stack([phrase, np.concatenate(owners)]), axis=0)
+        pairs = pairs[pairs[:, 1] >= 0]
+        self.owner = pairs[:, 1]
+        self.owner_at = np.searchsorted(pairs[:, 0], np.arange(len(first) + 1))
+        self.least = int(self.lengths.min()) if len(first) else 0
 
     def hits(self, texts: list[bytes]) -> list[tuple[int, list[tuple[int, int]], list[str]]]:
-        """For each text: its number of words, its merged hit spans [start, end) in words, its items."""
+        """For each text: its number of words, its merged hit spans [start, end) in words, its items.
+
+        Occurrences are located a bounded number at a time; of each lot only
+        what its words cover and which phrases a text holds are kept.
+        """
         counts, runs, where = [], [], []
         for doc, text in enumerate(texts):
             words = words_of(text)
@@ -183,39 +194,36 @@ class Phrases:
                 if b - a >= self.least:
                     runs.append(symbols[a:b])
                     where.append((doc, a))
-        out = [(n, [], []) for n in counts]
+        out: list[tuple[int, list[tuple[int, int]], list[str]]] = [(n, [], []) for n in counts]
         if not runs:
             return out
         index = FMIndex(runs, len(self.symbol))
         low, high = index.search(self.matrix, self.lengths)
         run_starts = np.concatenate([[0], np.cumsum([len(r) + 1 for r in runs])])
         run_doc = np.array([d for d, _ in where])
-        run_at = np.array([a for _, a in where])
-        docs, starts, ends, phrases = [], [], [], []
+        # Each text has a place more than it has words, so that spans of two texts never touch.
+        base = np.concatenate([[0], np.cumsum(np.array(counts) + 1)])
+        run_at = np.array([a for _, a in where]) + base[run_doc]
+        change = np.zeros(int(base[-1]) + 1, dtype=np.int64)
         sizes = high - low
-        before = np.cumsum(sizes) - sizes
-        for at in range(0, int(sizes.sum()), 1 << 20):
-            number = np.arange(at, min(at + (1 << 20), int(sizes.sum())))
+        before, total = np.cumsum(sizes) - sizes, int(sizes.sum())
+        held = np.zeros(0, dtype=np.int64)
+        for at in range(0, total, LOT):
+            number = np.arange(at, min(at + LOT, total))
             phrase = np.searchsorted(before, number, side="right") - 1
             places = index.locate(low[phrase] + number - before[phrase])
             run = np.searchsorted(run_starts, places, side="right") - 1
             begin = run_at[run] + places - run_starts[run]
-            docs.append(run_doc[run])
-            starts.append(begin)
-            ends.append(begin + self.lengths[phrase])
-            phrases.append(phrase)
-        if not docs:
-            return out
-        doc, start, end, phrase = map(np.concatenate, (docs, starts, ends, phrases))
-        by = np.lexsort((start, doc))
-        doc, start, end, phrase = doc[by], start[by], end[by], phrase[by]
-        for part in np.split(np.arange(len(doc)), np.flatnonzero(np.diff(doc)) + 1):
-            reach = np.maximum.accumulate(end[part])
-            heads = np.concatenate([[0], np.flatnonzero(start[part][1:] > reach[:-1]) + 1])
-            tails = np.concatenate([heads[1:] - 1, [len(part) - 1]])
-            spans = list(zip(start[part][heads].tolist(), reach[tails].tolist(), strict=True))
-            numbers = np.unique(np.concatenate([self.owners[k] for k in np.unique(phrase[part]).tolist()]))
-            out[doc[part[0]]] = (counts[doc[part[0]]], spans, [self.names[k] for k in numbers.tolist()])
+            np.add.at(change, begin, 1)
+            np.add.at(change, begin + self.lengths[phrase], -1)
+            held = np.unique(np.concatenate([held, run_doc[run] * len(low) + phrase]))
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], np.cumsum(change) > 0]).astype(np.int8)))
+        for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+            doc = int(np.searchsorted(base, a, side="right")) - 1
+            out[doc][1].append((a - int(base[doc]), b - int(base[doc])))
+        for some in np.split(held, np.flatnonzero(np.diff(held // len(low))) + 1) if len(held) else ():
+            numbers = np.unique(np.concatenate([self.owner[self.owner_at[k] : self.owner_at[k + 1]] for k in (some % len(low)).tolist()]))
+            out[int(some[0]) // len(low)][2].extend(self.names[k] for k in numbers.tolist())
         return out
 
 
@@ -232,18 +240,19 @@ def shards(batches: Iterator[pa.RecordBatch], text_at: int, size: int) -> Iterat
 
 
 def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple]]:
-    """The benchmark's items in blocks of about ``block_bytes``; each is small enough to send to all tasks.
+    """The benchmark's distinct items in blocks of about ``block_bytes`` (and at least an item); each is small enough to send to all tasks.
 
     The number of blocks follows the measured size, so a benchmark of any size
     is searched, one pass over the corpus for each block.
     """
-    items = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).cast("binary").alias("text"))
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    named = picked(benchmark, item=id_col, text=text_col)
+    items = named.select(F.col("item").cast("string"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text")).distinct()
+    total = items.agg(F.sum(F.octet_length("text") + 8)).first()[0] or 0
     blocks = 1 + total // block_bytes
     part = F.pmod(F.xxhash64("item", "text"), F.lit(blocks))
     for k in range(blocks):
         rows = items if blocks == 1 else items.where(part == k)
-        yield [(r.item, bytes(r.text or b"")) for r in rows.collect()]
+        yield [(r.item, bytes(r.text)) for r in rows.collect()]
 
 
 SPANS = "array<struct<start:bigint,end:bigint>>"
@@ -257,6 +266,7 @@ def contamination(
     block_bytes: int = 8 << 20,
     shard_bytes: int = 8 << 20,
     item_col: str = "item_id",
+    item_text_col: str = "text",
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -273,12 +283,19 @@ def contamination(
     ``n_words``, ``spans`` (merged, in words), ``items`` (ids of items with
     occurring phrases, sorted as strings).  Null texts have no words; items
     without words have no phrases; an item with a null id makes hits but is not
-    listed; repeated items and rows count like others; empty tables give no
-    rows or no hits; other columns are ignored.
+    listed; repeated items and rows count like others; a very long text is a
+    shard of its own, of whose occurrences a bounded number is held at once;
+    empty tables give no rows or no hits; other columns are ignored, whatever
+    their names.
     """
-    docs = addressed(docs)
-    id_type = docs.schema[id_col].dataType.simpleString()
-    narrow = docs.select("__row", F.col(id_col), F.col(text_col).cast("string"))
+    return _contamination(addressed(docs), benchmark, window, block_bytes, shard_bytes, item_col, item_text_col, id_col, text_col)
+
+
+def _contamination(
+    rows: Rows, benchmark: DataFrame, window: int, block_bytes: int, shard_bytes: int, item_col: str, item_text_col: str, id_col: str, text_col: str
+) -> DataFrame:
+    narrow = rows.texts(id_col, text_col)
+    id_type = narrow.schema["doc_id"].dataType.simpleString()
     schema = f"row struct<file:bigint,at:bigint>, doc_id {id_type}, n_words long, spans {SPANS}, items array<string>"
 
     def searched(items: list[tuple]) -> DataFrame:
@@ -300,7 +317,7 @@ def contamination(
 
         return map_rows(narrow, schema, work)
 
-    results = [searched(items) for items in benchmark_blocks(benchmark, item_col, text_col, block_bytes)]
+    results = [searched(items) for items in benchmark_blocks(benchmark, item_col, item_text_col, block_bytes)]
     if len(results) == 1:
         return results[0]
     every = results[0]
@@ -330,22 +347,30 @@ def hit_words(name: str = "spans"):
     return F.expr(f"aggregate({name}, 0L, (n, s) -> n + s.end - s.start)")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, share: int = 20, **options) -> DataFrame:
-    """The rows of ``docs`` of which less than one word in ``share`` is hit (or none); all columns are kept.
+def drop_contaminated(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    *,
+    share: int = 20,
+    window: int = 13,
+    block_bytes: int = 8 << 20,
+    shard_bytes: int = 8 << 20,
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """The rows of ``docs`` of which less than one word in ``share`` is hit (or none); all columns are kept, whatever their names.
 
     The phrases are searched in the same task that passes a row on, so nothing
-    is shuffled; a benchmark of several blocks takes a pass for each.
+    is shuffled; a benchmark of several blocks takes a pass for each.  Null and
+    empty texts have no words and stay; repeated rows are judged alike; very
+    long texts are a shard each; an empty benchmark drops nothing and an empty
+    table stays empty.
     """
-    window = options.get("window", 13)
-    shard_bytes = options.get("shard_bytes", 8 << 20)
-    text_at = docs.columns.index(options.get("text_col", "text"))
-    blocks = list(
-        benchmark_blocks(
-            benchmark, options.get("item_col", "item_id"), options.get("text_col", "text"), options.get("block_bytes", 8 << 20)
-        )
-    )
+    blocks = list(benchmark_blocks(benchmark, item_col, item_text_col, block_bytes))
     if len(blocks) == 1:
-        items = blocks[0]
+        items, text_at = blocks[0], position(docs, text_col)
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             phrases = Phrases(items, window)
@@ -353,10 +378,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, share: int = 20,
                 hit = [(sum(b - a for a, b in spans), n) for n, spans, _ in phrases.hits(texts)]
                 yield part.filter(pa.array([h == 0 or share * h < n for h, n in hit], pa.bool_()))
 
-        return map_rows(docs, T.StructType(docs.schema.fields), work)
-    from tarn.llm.common import keep_rows
-
-    docs = addressed(docs)
-    found = contamination(docs.drop("__row"), benchmark, **options)
-    clean = found.where((hit_words() == 0) | (share * hit_words() < F.col("n_words")))
-    return keep_rows(docs, clean.select(F.col("row").alias("__row")))
+        placed = by_place(docs)
+        return map_rows(placed, T.StructType(placed.schema.fields), work).toDF(*docs.columns)
+    rows = addressed(docs)
+    found = _contamination(rows, benchmark, window, block_bytes, shard_bytes, item_col, item_text_col, id_col, text_col)
+    return rows.keep(found.where((hit_words() == 0) | (share * hit_words() < F.col("n_words"))))

@@ -47,8 +47,9 @@ def tables():
     return docs, items
 
 
-@pytest.mark.parametrize("blocks", [8 << 20, 200])
-def test_equals_brute_force(spark, tables, blocks):
+@pytest.mark.parametrize(("blocks", "lot"), [(8 << 20, D.LOT), (200, 7)])
+def test_equals_brute_force(spark, tables, blocks, lot, monkeypatch):
+    monkeypatch.setattr(D, "LOT", lot)
     docs, items = tables
     found = D.contamination(
         spark.createDataFrame(docs, "doc_id long, text string"),
@@ -100,3 +101,22 @@ def test_suffix_order_and_locate():
             if r[i : i + len(wanted)].tolist() == wanted
         )
         assert sorted(index.locate(np.arange(low[k], high[k])).tolist()) == expected
+
+
+def test_long_text_and_lots(monkeypatch):
+    """Spans and items do not depend on how many occurrences are located at once."""
+    rng = random.Random(8)
+    items = [(str(k), " ".join(rng.choice("ab") for _ in range(rng.choice([2, 5, 13, 20]))).encode()) for k in range(12)] * 2
+    texts = [" ".join(rng.choice("abc") for _ in range(n)).encode() for n in (0, 1, 30, 200, 5000)]
+    phrases = D.Phrases(items, 13)
+    whole = phrases.hits(texts)
+    wanted = brute([(k, t.decode()) for k, t in enumerate(texts)], [(k, t.decode()) for k, t in items])
+    assert [(k, n, sum(b - a for a, b in spans), tuple(found)) for k, (n, spans, found) in enumerate(whole)] == wanted
+    monkeypatch.setattr(D, "LOT", 11)
+    assert phrases.hits(texts) == whole
+
+
+def test_copies_of_an_item_are_one(spark):
+    items = spark.createDataFrame([(1, "a b c")] * 500 + [(2, "d")], "item_id long, text string")
+    blocks = list(D.benchmark_blocks(items, "item_id", "text", 12))
+    assert sorted(i for b in blocks for i in b) == [("1", b"a b c"), ("2", b"d")]

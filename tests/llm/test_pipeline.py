@@ -10,7 +10,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 
 import test_decontaminate  # noqa: E402
 import test_dedup  # noqa: E402
-import test_similar  # noqa: E402
+import test_near  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
 from tarn.llm import packing  # noqa: E402
@@ -27,7 +27,7 @@ def brute(rows, model, items):
     for d, t in named:
         best[test_dedup.lower(t)] = max(best.get(test_dedup.lower(t), d), d)
     single = [(d, t) for d, t in named if best[test_dedup.lower(t)] == d]
-    near = test_similar.brute_kept(single)
+    near = test_near.brute_rows(single)
     hits = {d: (n, h) for d, n, h, _ in test_decontaminate.brute(near, items)}
     return [(d, t) for d, t in near if hits[d][1] == 0 or 20 * hits[d][1] < hits[d][0]]
 
