@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import ROW, Workspace, addressed, keep_rows, map_rows, small_batches, texts_as_bytes
+from tarn.llm.common import ROW, Rows, Workspace, addressed, join_groups, map_rows, small_batches, texts_as_bytes
 
 #: Identifier functions in the order they are tried; the next one is taken if one gives two chunks one identifier.
 IDENTIFIERS: tuple[Callable[[bytes], bytes], ...] = (
@@ -20,6 +20,8 @@ IDENTIFIERS: tuple[Callable[[bytes], bytes], ...] = (
 )
 
 LEAST, MEAN_BITS, MOST = 1024, 12, 16384
+#: Bytes of a text that are hashed at once.
+BLOCK = 1 << 20
 
 
 def gear_table() -> np.ndarray:
@@ -43,19 +45,27 @@ def gear_hashes(data: np.ndarray) -> np.ndarray:
     return hashes
 
 
+def marks(text: bytes) -> Iterator[int]:
+    """Ends of the 32-byte strings at which a chunk may end, in order; hashed in blocks, so a long text takes no more memory."""
+    data = np.frombuffer(text, dtype=np.uint8)
+    for at in range(0, len(data), BLOCK):
+        first = max(0, at - 31)
+        hashes = gear_hashes(data[first : at + BLOCK])[at - first :]
+        yield from (np.flatnonzero(hashes >> np.uint32(32 - MEAN_BITS) == 0) + (at + 1)).tolist()
+
+
 def cut_points(text: bytes) -> list[int]:
     """Ends of a text's chunks; where they fall depends on nearby content only."""
     if len(text) <= LEAST:
         return [len(text)]
-    hashes = gear_hashes(np.frombuffer(text, dtype=np.uint8))
-    places = (np.flatnonzero(hashes >> np.uint32(32 - MEAN_BITS) == 0) + 1).tolist()
-    cuts, at, k = [], 0, 0
+    cuts, at, places = [], 0, marks(text)
+    place = next(places, len(text))
     while len(text) - at > LEAST:
-        while k < len(places) and places[k] < at + LEAST:
-            k += 1
-        at = min(places[k] if k < len(places) else len(text), at + MOST, len(text))
+        while place < at + LEAST and place < len(text):
+            place = next(places, len(text))
+        at = min(place, at + MOST)
         cuts.append(at)
-    if not cuts or cuts[-1] < len(text):
+    if cuts[-1] < len(text):
         cuts.append(len(text))
     return cuts
 
@@ -67,7 +77,7 @@ def chunks(text: bytes) -> Iterator[bytes]:
         at = cut
 
 
-def chunk_table(docs: DataFrame, text_col: str, identify: Callable[[bytes], bytes]) -> DataFrame:
+def chunk_table(texts: DataFrame, identify: Callable[[bytes], bytes]) -> DataFrame:
     """(identifier, chunk) of every document's chunks; a task sends a chunk it meets again once."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,42 +98,56 @@ def chunk_table(docs: DataFrame, text_col: str, identify: Callable[[bytes], byte
                 [pa.array(names, pa.binary()), pa.array(found, pa.binary())], ["identifier", "chunk"]
             )
 
-    return map_rows(docs.select(F.col(text_col).cast("string")), "identifier binary, chunk binary", work)
+    return map_rows(texts.select("text"), "identifier binary, chunk binary", work)
 
 
-def recipe_table(docs: DataFrame, id_col: str, text_col: str, identify: Callable[[bytes], bytes]) -> DataFrame:
-    """(row, doc_id, recipe, text_sha256): a recipe is the ordered list of a text's chunk identifiers."""
-    id_type = docs.schema[id_col].dataType.simpleString()
+def recipe_table(texts: DataFrame, identify: Callable[[bytes], bytes]) -> DataFrame:
+    """(row, doc_id, name, recipe, text_sha256): a recipe is the ordered list of a text's chunk identifiers, name a hash of it."""
+    id_type = texts.schema["doc_id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in small_batches(batches):
-            texts = [x.lower() for x in texts_as_bytes(part.column(2))]
+            folded = [x.lower() for x in texts_as_bytes(part.column(2))]
+            recipes = [[identify(c) for c in chunks(x)] for x in folded]
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column(0),
                     part.column(1),
-                    pa.array([[identify(c) for c in chunks(x)] for x in texts], pa.list_(pa.binary())),
-                    pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string()),
+                    pa.array([identify(b"".join(r)) for r in recipes], pa.binary()),
+                    pa.array(recipes, pa.list_(pa.binary())),
+                    pa.array([hashlib.sha256(x).hexdigest() for x in folded], pa.string()),
                 ],
-                ["row", "doc_id", "recipe", "text_sha256"],
+                ["row", "doc_id", "name", "recipe", "text_sha256"],
             )
 
-    frame = docs.select("__row", F.col(id_col), F.col(text_col).cast("string"))
-    return map_rows(frame, f"row {ROW}, doc_id {id_type}, recipe array<binary>, text_sha256 string", work)
+    schema = f"row {ROW}, doc_id {id_type}, name binary, recipe array<binary>, text_sha256 string"
+    return map_rows(texts.select("row", "doc_id", "text"), schema, work)
 
 
-def verified_identifier(ws: Workspace, docs: DataFrame, text_col: str) -> Callable[[bytes], bytes]:
-    """The first identifier function under which no two different chunks of the corpus share a name.
+def recipe_groups(ws: Workspace, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, groups): the rows with their recipes' names, and for each distinct recipe its name, best row and size.
 
-    Chunks are deduplicated by their bytes, so each distinct chunk crosses the
-    network about once per task that holds it; then names are counted.
+    Taken with the first identifier function that gives no two different chunks
+    and no two different recipes one name.  Chunks are deduplicated by their
+    bytes, so each distinct chunk crosses the network about once per task that
+    holds it; recipes are compared as lists.
     """
     for identify in IDENTIFIERS:
-        distinct = chunk_table(docs, text_col, identify).groupBy("identifier", "chunk").agg(F.lit(1).alias("one"))
-        shared = distinct.groupBy("identifier").agg(F.count("*").alias("n")).where("n > 1")
-        if shared.limit(1).count() == 0:
-            return identify
-    raise RuntimeError("every identifier function gave two different chunks one name")
+        distinct = chunk_table(texts, identify).groupBy("identifier", "chunk").agg(F.lit(1).alias("one"))
+        if _repeated(distinct, "identifier"):
+            continue
+        rows = ws.table(recipe_table(texts, identify))
+        groups = rows.groupBy("recipe").agg(
+            F.first("name").alias("name"), F.max(F.struct("doc_id", "row")).alias("best"), F.count("*").alias("group_size")
+        )
+        groups = ws.table(groups.drop("recipe"))
+        if not _repeated(groups, "name"):
+            return rows.drop("recipe"), groups
+    raise RuntimeError("every identifier function gave two different chunks or recipes one name")
+
+
+def _repeated(frame: DataFrame, name: str) -> bool:
+    return frame.groupBy(name).agg(F.count("*").alias("n")).where("n > 1").limit(1).count() > 0
 
 
 def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -131,27 +155,25 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     Texts are cut where their content says so, equal chunks get one verified
     identifier, and two texts are equal if their ordered identifier lists are.
-    Whole texts never travel; the chunk bytes do once, for verification.
+    Whole texts never travel; the chunk bytes do once, for verification.  Groups
+    with a large part of all rows are broadcast, the others joined by name.
 
     Returns one row per input row: ``row`` (its address), ``doc_id``,
     ``keep_id`` (the largest id of its group), ``keep_row``, ``group_size``,
     ``kept`` and ``text_sha256``.  Null texts count as empty.  Null ids lose to
     any other id; a group of null ids alone has a null ``keep_id``.  Of rows
     that repeat text and id, ``keep_row`` names one, and ``kept`` is true for it
-    alone.  An empty table gives no rows; other columns are ignored.
+    alone.  Very long texts are hashed in blocks.  An empty table gives no rows;
+    other columns are ignored, whatever their names.
     """
     return _groups(addressed(docs), id_col, text_col)
 
 
-def _groups(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    with Workspace(docs.sparkSession) as ws:
-        identify = verified_identifier(ws, docs, text_col)
-        recipes = ws.table(recipe_table(docs, id_col, text_col, identify))
-        best = recipes.groupBy("recipe").agg(
-            F.max(F.struct("doc_id", "row")).alias("best"), F.count("*").alias("group_size")
-        )
+def _groups(rows: Rows, id_col: str, text_col: str) -> DataFrame:
+    with Workspace(rows.docs.sparkSession) as ws:
+        named, groups = recipe_groups(ws, rows.texts(id_col, text_col))
         return ws.deliver(
-            recipes.join(best, "recipe").select(
+            join_groups(named, groups, "name", "group_size", named.count()).select(
                 "row",
                 "doc_id",
                 F.col("best.doc_id").alias("keep_id"),
@@ -164,7 +186,12 @@ def _groups(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def drop_exact_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, one of each group of equal texts; all columns are kept."""
-    docs = addressed(docs)
-    kept = _groups(docs, id_col, text_col).where("kept").select(F.col("row").alias("__row"))
-    return keep_rows(docs, kept)
+    """The rows of ``docs``, one of each group of equal texts (see ``exact_groups``: nulls, ties, repeats, long texts).
+
+    All columns are kept, whatever their names; an empty table stays empty.
+    """
+    rows = addressed(docs)
+    with Workspace(docs.sparkSession) as ws:
+        _, groups = recipe_groups(ws, rows.texts(id_col, text_col))
+        kept = ws.deliver(groups.select(F.col("best.row").alias("row")))
+    return rows.keep(kept)
