@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarn.llm.common import picked
+
 
 def id_remainder(id_col: str, modulus: int) -> Column:
     """crc32 of an id written as text, modulo ``modulus``; a null id counts as empty text."""
@@ -15,24 +17,31 @@ def id_remainder(id_col: str, modulus: int) -> Column:
 
 
 def sample_by_label(
-    rows: DataFrame, label_col: str, key: Column, rows_per_label: int, most_labels: int
+    rows: DataFrame, label_col: str, key: Column, rows_per_label: int, most_labels: int, size: Column | None = None, size_per_label: int = 0
 ) -> DataFrame:
-    """About ``rows_per_label`` rows of each of the commonest labels, at most 1.2 times as many in all.
+    """About ``rows_per_label`` rows of each label, at most 1.2 times as many in all; with ``size`` no more than about ``size_per_label`` of it either.
 
     Rows are drawn by a hash of ``key``, so the same rows are drawn however the
     table is split.  The counts are exact and over all rows; the bound holds at
-    any size of the table.
+    any size of the table.  More than ``most_labels`` labels are refused: none
+    is left out.  Rows with a null label are not drawn.
     """
-    counts = rows.groupBy(label_col).agg(F.count("*").alias("n")).orderBy(F.desc("n"), label_col).limit(most_labels)
-    share = {r[0]: min(1.0, rows_per_label / r.n) for r in counts.collect() if r[0] is not None}
-    if not share:
+    held = F.lit(0.0) if size is None else F.sum(size.cast("double"))
+    counts = rows.where(F.col(label_col).isNotNull()).groupBy(label_col).agg(F.count("*").alias("n"), held.alias("size")).limit(most_labels + 1)
+    found = counts.collect()
+    if len(found) > most_labels:
+        raise ValueError(f"{label_col} has more than {most_labels} values: not a column of labels, or one to raise the limit for")
+    if not found:
         return rows.limit(0)
-    drawn = F.lit(0.0)
-    for label, part in share.items():
-        drawn = F.when(F.col(label_col) == F.lit(label), F.lit(part)).otherwise(drawn)
+    share = [
+        (r[0], float(min(1.0, rows_per_label / r.n, size_per_label / r.size if size_per_label and r.size else 1.0))) for r in found
+    ]
+    kind = rows.schema[label_col].dataType.simpleString()
+    shares = rows.sparkSession.createDataFrame(share, f"`{label_col}` {kind}, __share double")
     ticket = F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
     most = int(1.2 * rows_per_label * len(share)) + 100
-    return rows.where(ticket < drawn).orderBy(F.xxhash64(key, F.lit("order"))).limit(most)
+    drawn = rows.join(F.broadcast(shares), label_col).where(ticket < F.col("__share")).select(*rows.columns)
+    return drawn.orderBy(F.xxhash64(key, F.lit("order"))).limit(most)
 
 
 def char_blocks(text: str, size: int, overlap: int) -> Iterator[str]:
@@ -41,18 +50,6 @@ def char_blocks(text: str, size: int, overlap: int) -> Iterator[str]:
         yield text[max(0, at - overlap) : at + size]
 
 
-def word_blocks(text: str, size: int) -> Iterator[str]:
-    """A text in blocks of at least ``size`` characters that end at white space."""
-    at = 0
-    while len(text) - at > size:
-        cut = at + size
-        while cut < len(text) and not text[cut].isspace():
-            cut += 1
-        yield text[at:cut]
-        at = cut
-    yield text[at:]
-
-
 def logistic(features: np.ndarray, labels: np.ndarray, penalty: float = 1e-2) -> np.ndarray:
     """Weights (intercept last) of a small logistic regression, by damped Newton steps."""
     middle, spread = features.mean(axis=0), features.std(axis=0) + 1e-9
@@ -88,12 +85,12 @@ def labelled_sample(
     The sample is drawn from the labels, whose ids are few enough to be sent to
     the readers of the documents: no text is shuffled.
     """
-    rows = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
+    rows = picked(labels, id=id_col, label=label_col).withColumn("label", F.col("label").cast("int"))
     rows = rows.where(F.col("id").isNotNull() & F.col("label").isin(0, 1) & (id_remainder("id", holdout) != 1))
     drawn = sample_by_label(rows, "label", F.col("id"), rows_per_label, 2).dropDuplicates(["id"])
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    texts = picked(docs, id=id_col, text=text_col).withColumn("text", F.col("text").cast("string"))
     texts = texts.where(F.length("text") <= most_chars).join(F.broadcast(drawn), "id")
-    found = texts.orderBy(F.xxhash64("id")).limit(3 * rows_per_label + 200)
+    found = texts.orderBy(F.xxhash64("id"), "text", "label").limit(3 * rows_per_label + 200)
     return [(r.text, r.label) for r in found.select("text", "label").collect()]
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarn.llm.common import map_rows, small_batches
+from tarn.llm.common import by_place, map_rows, picked, position, small_batches
 from tarn.llm.fitting import char_blocks, code_points, id_remainder, sample_by_label, softmax
 
 UNKNOWN = "und"
@@ -79,7 +79,7 @@ def ftrl(
 ) -> None:
     """Follow-the-regularised-leader with per-coordinate rates and elastic-net penalties."""
     classes = len(model.languages)
-    z, n = np.zeros((BUCKETS + 1, classes)), np.zeros((BUCKETS + 1, classes))
+    z, n = (np.zeros((BUCKETS + 1, classes), np.float64 if classes <= 200 else np.float32) for _ in range(2))
 
     def weights(at: np.ndarray) -> np.ndarray:
         za = z[at]
@@ -142,21 +142,26 @@ def train_language(
     docs: DataFrame,
     *,
     rows_per_language: int = 1000,
-    most_languages: int = 200,
+    chars_per_language: int = 8 << 20,
+    most_languages: int = 1000,
     most_chars: int = 20_000,
     holdout: int = 5,
     id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
 ) -> LanguageModel:
-    """Fit on a bounded sample: about ``rows_per_language`` rows of each of the commonest languages.
+    """Fit on a bounded sample: about ``rows_per_language`` rows and ``chars_per_language`` characters of each language.
 
-    Rows with a null language, of over ``most_chars`` characters or whose
-    id has remainder 0 (see ``id_remainder``) are not learned from.
+    Rows with a null language, null texts, texts of over ``most_chars``
+    characters and rows whose id has remainder 0 (see ``id_remainder``) are not
+    learned from.  Every language left can be predicted: a table with more than
+    ``most_languages`` is refused.  Repeated rows count like others; other
+    columns are ignored; an empty table gives a model that knows no language.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    rows = picked(docs, id=id_col, text=text_col, lang=lang_col)
+    rows = rows.select("id", F.col("text").cast("string"), F.col("lang").cast("string"))
     rows = rows.where((id_remainder("id", holdout) != 0) & F.col("lang").isNotNull() & (F.length("text") <= most_chars))
-    drawn = sample_by_label(rows, "lang", F.col("id"), rows_per_language, most_languages)
+    drawn = sample_by_label(rows, "lang", F.col("id"), rows_per_language, most_languages, F.length("text"), chars_per_language)
     return fit_language([(r.text, r.lang) for r in drawn.select("text", "lang").collect()])
 
 
@@ -166,11 +171,12 @@ def identify_language(
     """(doc_id, lang_pred, score) of every row, from its whole text alone.
 
     ``lang_pred`` is a learned language, or ``und`` with score 0 if the text is
-    null, has no letter, or nothing was learned.  Ids are carried as they are,
-    null and repeated ones too; other columns are ignored; long texts are
-    counted in blocks.
+    null, has no letter, or nothing was learned; of languages with one score the
+    first by name.  Ids are carried as they are, null and repeated ones too;
+    other columns are ignored, whatever their names; long texts are counted in
+    blocks; an empty table gives no rows.
     """
-    id_type = docs.schema[id_col].dataType.simpleString()
+    texts = picked(docs, doc_id=id_col, text=text_col).withColumn("text", F.col("text").cast("string"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in small_batches(batches):
@@ -180,20 +186,25 @@ def identify_language(
                 ["doc_id", "lang_pred", "score"],
             )
 
-    schema = f"doc_id {id_type}, lang_pred string, score double"
-    return map_rows(docs.select(F.col(id_col), F.col(text_col).cast("string")), schema, work)
+    schema = f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double"
+    return map_rows(texts, schema, work)
 
 
 def keep_known_language(
     docs: DataFrame, training: DataFrame, *, least_score: float = 0.3, text_col: str = "text"
 ) -> DataFrame:
-    """The rows of ``docs`` with a named language of score ``least_score`` or more; all columns are kept."""
+    """The rows of ``docs`` with a named language of score ``least_score`` or more; all columns are kept, whatever their names.
+
+    Null texts and texts without a letter have no named language and go;
+    repeated rows are judged alike; long texts are counted in blocks; an empty
+    table stays empty.  ``training`` is read as ``train_language`` reads it.
+    """
     model = train_language(training)
-    text_at = docs.columns.index(text_col)
+    text_at, placed = position(docs, text_col), by_place(docs)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in small_batches(batches):
             found = [model.predict(t) for t in part.column(text_at).to_pylist()]
             yield part.filter(pa.array([f != UNKNOWN and s >= least_score for f, s in found], pa.bool_()))
 
-    return map_rows(docs, T.StructType(docs.schema.fields), work)
+    return map_rows(placed, T.StructType(placed.schema.fields), work).toDF(*docs.columns)
