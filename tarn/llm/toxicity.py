@@ -10,15 +10,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import map_rows, small_batches
-from tarn.llm.fitting import labelled_sample, logistic, sigmoid, softmax, word_blocks
+from tarn.llm.common import map_rows, picked, small_batches
+from tarn.llm.fitting import labelled_sample, logistic, sigmoid, softmax
 
 BITS = 17
 BUCKETS = 1 << BITS
 ORDERS = (3, 4, 5, 6)
 #: Words in a bag; a text is the sequence of its bags.
 BAG = 4
-#: Text characters handled at once.
+#: Bytes of text handled at once.
 BLOCK = 1 << 18
 
 #: A-Z to a-z, other ASCII than letters and digits to a space; bytes of other characters stay.
@@ -28,6 +28,18 @@ FOLD = bytes(
 )
 
 
+def ngrams(data: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(order, buckets) of all character n-grams, one for each place they can start at."""
+    codes = data.astype(np.uint64)
+    hashes = codes[:-1] * np.uint64(0x9E3779B97F4A7C15) + codes[1:]
+    for order in range(3, max(ORDERS) + 1):
+        if len(data) < order:
+            return
+        hashes = hashes[: len(data) - order + 1] * np.uint64(0x9E3779B97F4A7C15) + codes[order - 1 :]
+        mixed = (hashes + np.uint64(order)) * np.uint64(0xD6E8FEB86659FD93)
+        yield order, (mixed >> np.uint64(64 - BITS)).astype(np.int64)
+
+
 def subwords(text: bytes) -> tuple[np.ndarray, np.ndarray, int]:
     """(bucket, word number) of each character n-gram of each word, and the number of words.
 
@@ -38,56 +50,83 @@ def subwords(text: bytes) -> tuple[np.ndarray, np.ndarray, int]:
     if not words:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), 0
     data = np.frombuffer(b" " + b" ".join(words) + b" ", dtype=np.uint8)
-    space = data == 32
-    number = np.cumsum(space) - 1
-    spaces = np.cumsum(space)
-    codes = data.astype(np.uint64)
+    spaces = np.cumsum(data == 32)
     buckets, owners = [], []
-    hashes = codes[:-1] * np.uint64(0x9E3779B97F4A7C15) + codes[1:]
-    for order in range(3, max(ORDERS) + 1):
-        if len(data) < order:
-            break
-        hashes = hashes[: len(data) - order + 1] * np.uint64(0x9E3779B97F4A7C15) + codes[order - 1 :]
-        inside = spaces[order - 2 : len(data) - 1] == spaces[: len(data) - order + 1]
-        at = np.flatnonzero(inside)
-        mixed = (hashes[at] + np.uint64(order)) * np.uint64(0xD6E8FEB86659FD93)
-        buckets.append((mixed >> np.uint64(64 - BITS)).astype(np.int64))
-        owners.append(number[at])
+    for order, found in ngrams(data):
+        at = np.flatnonzero(spaces[order - 2 : len(data) - 1] == spaces[: len(data) - order + 1])
+        buckets.append(found[at])
+        owners.append(spaces[at] - 1)
     return np.concatenate(buckets), np.concatenate(owners), len(words)
 
 
+def blocks_of(data: bytes, size: int) -> Iterator[bytes]:
+    """Folded text in blocks of about ``size`` bytes that end at a space, so that no word is cut."""
+    at = 0
+    while len(data) - at > size:
+        cut = data.find(b" ", at + size)
+        if cut < 0:
+            break
+        yield data[at:cut]
+        at = cut
+    yield data[at:]
+
+
+def long_word(word: bytes, scores: np.ndarray) -> float:
+    """The mean score of the subwords of a word of any length, a stretch of it at a time."""
+    data, total, count = np.frombuffer(b" " + word + b" ", dtype=np.uint8), 0.0, 0
+    for at in range(0, len(data), BLOCK):
+        for _, found in ngrams(data[at : at + BLOCK + max(ORDERS) - 1]):
+            total += float(scores[found[:BLOCK]].sum())
+            count += min(len(found), BLOCK)
+    return total / max(1, count)
+
+
 @dataclass
 class ToxicityModel:
-    """``scores`` is each subword's embedding times the difference of the two output vectors."""
+    """``scores`` is each subword's embedding times the difference of the two output vectors.
+
+    As the softmax is linear in the embeddings, a bag's averaged embedding times
+    that difference is the average of its subwords' scores.
+    """
 
     scores: np.ndarray
     bias: float
-    weights: np.ndarray
-
-    def summary(self, text: str | None) -> np.ndarray:
-        """A text's highest bag, its highest bag apart from that one, and the logarithm of its length."""
-        tops, words, at, held = [], 0, 0, np.zeros(0)
-        for block in word_blocks(text or "", BLOCK):
-            buckets, owners, count = subwords(block.lower().encode("utf-8", "surrogatepass"))
-            if count:
-                sums = np.bincount(owners, self.scores[buckets], minlength=count)
-                # A block's last words go into the next one's bags, held[0] being word number ``at`` of the text.
-                held = np.concatenate([held, sums / np.maximum(np.bincount(owners, minlength=count), 1)])
-                words += count
-                if len(held) >= BAG:
-                    bags = bag_means(held) + self.bias
-                    # At most 2 * BAG - 1 bags share a word with the highest one, itself included.
-                    tops += [(float(bags[k]), at + int(k)) for k in np.argsort(-bags, kind="stable")[: 2 * BAG]]
-                    at, held = at + len(held) - BAG + 1, held[len(held) - BAG + 1 :]
-        if not tops and len(held):
-            tops = [(float(bag_means(held)[0]) + self.bias, 0)]
-        tops.sort(key=lambda t: (-t[0], t[1]))
-        first = tops[0][0] if tops else -12.0
-        second = next((v for v, k in tops if abs(k - tops[0][1]) >= BAG), -12.0)
-        return np.array([max(first, -12.0), max(second, -12.0), np.log1p(words)])
+
+    def word_scores(self, text: str | None) -> Iterator[np.ndarray]:
+        """The mean score of each word's subwords, in blocks of words."""
+        data = (text or "").lower().encode("utf-8", "surrogatepass").translate(FOLD)
+        for block in blocks_of(data, BLOCK):
+            words = block.split()
+            if len(block) > 2 * BLOCK:
+                # Its last word reaches far beyond the block: all others end within it.
+                last = words.pop()
+                yield from (self._means(b" ".join(words)), np.array([long_word(last, self.scores)]))
+            else:
+                yield self._means(block)
+
+    def _means(self, block: bytes) -> np.ndarray:
+        buckets, owners, count = subwords(block)
+        if not count:
+            return np.zeros(0)
+        sums = np.bincount(owners, self.scores[buckets], minlength=count)
+        return sums / np.maximum(np.bincount(owners, minlength=count), 1)
+
+    def logit(self, text: str | None) -> float:
+        """The softmax's log odds for the text's most toxic bag; for a text without words those of an empty bag."""
+        top, held = None, np.zeros(0)
+        for found in self.word_scores(text):
+            # A block's last words go into the next one's bags.
+            held = np.concatenate([held, found])
+            if len(held) >= BAG:
+                best = float(bag_means(held).max())
+                top = best if top is None else max(top, best)
+                held = held[len(held) - BAG + 1 :]
+        if top is None:
+            top = float(held.mean()) if len(held) else 0.0
+        return top + self.bias
 
     def score(self, text: str | None) -> float:
-        return sigmoid(self.summary(text) @ self.weights[:-1] + self.weights[-1])
+        return sigmoid(self.logit(text))
 
 
 def bag_means(words: np.ndarray) -> np.ndarray:
@@ -132,12 +171,14 @@ def fit_toxicity(
 
     A label holds for a document, so the first pass learns from random bags of
     all documents; later ones take a toxic document's highest bags as toxic and
-    a clean document's random and highest bags as clean.
+    a clean document's random and highest bags as clean.  A fifth of the rows is
+    kept to calibrate the softmax (its temperature and bias) on whole documents.
+    Rows of one label, or none, give a model that always says that label, or 0.
     """
     rng = np.random.default_rng(0)
     labels = np.array([label for _, label in rows], dtype=np.int64)
     if len(set(labels.tolist())) < 2:
-        return ToxicityModel(np.zeros(BUCKETS), 0.0, np.array([0.0, 0.0, 0.0, 20.0 if labels.any() else -20.0]))
+        return ToxicityModel(np.zeros(BUCKETS), 20.0 if labels.any() else -20.0)
     corpus = Corpus([text for text, _ in rows])
     fitted = np.flatnonzero(np.arange(len(rows)) % 5 != 4)
     table = rng.normal(0, 0.1, (BUCKETS, dims))
@@ -184,10 +225,12 @@ def fit_toxicity(
             for value, change, total in ((out, to_out, sums[1]), (bias, to_bias, sums[2])):
                 total += change**2
                 value -= rate * change / np.sqrt(total)
-    model = ToxicityModel(table @ (out[1] - out[0]), float(bias[1] - bias[0]), np.array([1.0, 0.0, 0.0, 0.0]))
+    model = ToxicityModel(table @ (out[1] - out[0]), float(bias[1] - bias[0]))
     aside = [k for k in range(len(rows)) if k % 5 == 4] if len(rows) >= 50 else list(range(len(rows)))
     if len(set(labels[aside].tolist())) == 2:
-        model.weights = logistic(np.array([model.summary(rows[k][0]) for k in aside]), labels[aside])
+        slope, shift = logistic(np.array([[model.logit(rows[k][0])] for k in aside]), labels[aside])
+        if slope > 0:
+            model = ToxicityModel(slope * model.scores, float(slope * model.bias + shift))
     return model
 
 
@@ -202,7 +245,13 @@ def train_toxicity(
     text_col: str = "text",
     label_col: str = "toxic",
 ) -> ToxicityModel:
-    """Fit on a bounded sample: about ``rows_per_label`` labelled texts of each class, of at most ``most_chars``."""
+    """Fit on a bounded sample: about ``rows_per_label`` labelled texts of each class, of at most ``most_chars``.
+
+    Rows with a null id, a null text or another label than 0 and 1 are not
+    learned from, nor those whose id has remainder 1 (see ``id_remainder``); a
+    repeated label row counts once; other columns are ignored.  Empty tables
+    give a model that always says 0.
+    """
     return fit_toxicity(
         labelled_sample(
             docs, labels, label_col, rows_per_label=rows_per_label, most_chars=most_chars,
@@ -215,13 +264,15 @@ def score_texts(docs: DataFrame, model, *, id_col: str = "doc_id", text_col: str
     """(doc_id, score) of every row: ``model.score`` of its whole text, and of nothing else.
 
     Null texts are scored as empty ones; null and repeated ids are carried as
-    they are; other columns are ignored; long texts are scored in blocks.
+    they are; other columns are ignored, whatever their names; long texts are
+    scored in blocks; an empty table gives no rows.
     """
-    id_type = docs.schema[id_col].dataType.simpleString()
+    texts = picked(docs, doc_id=id_col, text=text_col).withColumn("text", F.col("text").cast("string"))
+    id_type = texts.schema["doc_id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in small_batches(batches):
             scores = [model.score(t) for t in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
-    return map_rows(docs.select(F.col(id_col), F.col(text_col).cast("string")), f"doc_id {id_type}, score double", work)
+    return map_rows(texts, f"doc_id {id_type}, score double", work)
