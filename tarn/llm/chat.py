@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarn.llm.common import Workspace, map_rows
+from tarn.llm.common import Workspace, map_rows, picked
 
 #: Opening and closing marks of a turn, by role; other roles are named between the marks of ``OTHER``.
 MARKS = {"system": ("<<SYS>>", "<</SYS>>"), "user": ("[INST] ", " [/INST]"), "assistant": ("[OUT] ", " </s>")}
@@ -68,12 +68,16 @@ def read_turns(formatted: str) -> list[tuple[str, str]]:
 def linear_tree(rows: DataFrame) -> DataFrame:
     """Conversations given as turns, as reply trees without branches: each row answers the one before it.
 
-    Rows of a conversation are ordered by turn (null first), then role and text, so repeated turns have a
-    defined order.  Scores are zero.
+    Rows of a conversation are ordered by turn (null first), then role and text
+    (null ones as empty), so repeated turns have a defined order.  Scores are
+    zero; a null conversation is one like others; an empty table gives none;
+    other columns are ignored, whatever their names.
     """
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    numbered = rows.select("conv_id", "role", "text", F.row_number().over(order).alias("n"))
-    name = F.coalesce(F.col("conv_id").cast("string"), F.lit("null"))
+    rows = picked(rows, conv_id="conv_id", turn="turn", role="role", text="text")
+    said = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text")]
+    order = Window.partitionBy("conv_id").orderBy(F.asc_nulls_first("turn"), "role", "text")
+    numbered = rows.select("conv_id", "turn", *said).withColumn("n", F.row_number().over(order))
+    name = F.coalesce(F.concat(F.lit("c"), F.col("conv_id").cast("string")), F.lit("none"))
     return numbered.select(
         "conv_id",
         F.concat_ws(":", name, F.col("n")).alias("message_id"),
@@ -204,10 +208,12 @@ def format_conversations(
     spans of the text under the loss mask, still escaped).  Null texts and roles
     are empty; null scores are zero; a message whose parent is not in the table
     is a root; of rows that repeat a message id the least is taken; messages on
-    a cycle of parents are in no path; an empty table gives no rows; other
-    columns are ignored.
+    a cycle of parents are in no path; a conversation, however long, is one
+    string and made by one task; an empty table gives no rows; other columns are
+    ignored, whatever their names.
     """
     spark = messages.sparkSession
+    messages = picked(messages, **{c: c for c in ("conv_id", "message_id", "parent_id", "score", "role", "text")})
     conv_type = messages.schema["conv_id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

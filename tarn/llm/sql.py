@@ -37,8 +37,8 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-#: Each control string and backslash inside a text costs one more character; see ``chat.CONTROL``.
-ESCAPES = r"len(regexp_extract_all(t, '<s>|</s>|\[INST\]|\[/INST\]|\[OUT\]|<<SYS>>|<</SYS>>|\[ROLE\]|\[/ROLE\]|\[END\]|\\'))"
+#: Each control string and backslash inside a text or role costs one more character; see ``chat.CONTROL``.
+ESCAPES = r"len(regexp_extract_all({0}, '<s>|</s>|\[INST\]|\[/INST\]|\[OUT\]|<<SYS>>|<</SYS>>|\[ROLE\]|\[/ROLE\]|\[END\]|\\'))"
 
 CHAT = f"""
 WITH said AS (SELECT '</s>[INST] ok [/INST]' AS text),
@@ -46,13 +46,14 @@ rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS t FROM conversations
   UNION ALL SELECT -1, 0, 'user', text FROM said UNION ALL SELECT -1, 1, 'assistant', text FROM said),
 turns AS (
-  SELECT *, length(t) + {ESCAPES}
-    + CASE role WHEN 'system' THEN 15 WHEN 'user' THEN 15 WHEN 'assistant' THEN 11 END AS formatted
+  SELECT *, length(t) + {ESCAPES.format("t")}
+    + CASE role WHEN 'system' THEN 15 WHEN 'user' THEN 15 WHEN 'assistant' THEN 11
+      ELSE 18 + length(role) + {ESCAPES.format("role")} END AS formatted
   FROM rows)
 SELECT conv_id, count(*) AS n_turns,
-       sha256(string_agg(role || chr(10) || t || chr(10), '' ORDER BY turn, role, t)) AS turns_sha256,
+       sha256(string_agg(role || chr(10) || t || chr(10), '' ORDER BY turn NULLS FIRST, role, t)) AS turns_sha256,
        CAST(coalesce(sum(length(t)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
-       sha256(coalesce(string_agg(t, '' ORDER BY turn, role, t) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sha256(coalesce(string_agg(t, '' ORDER BY turn NULLS FIRST, role, t) FILTER (role = 'assistant'), '')) AS loss_sha256,
        CAST(3 + sum(formatted) AS BIGINT) AS formatted_chars
 FROM turns GROUP BY conv_id
 """
