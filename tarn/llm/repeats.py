@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import ROW, Workspace, addressed, map_rows, small_batches, texts_as_bytes
+from tarn.llm.common import ROW, Workspace, addressed, join_groups, map_rows, small_batches, texts_as_bytes
 
 #: Bytes of the gram whose hash picks a window's anchor.
 GRAM = 32
@@ -20,6 +19,20 @@ GRAM = 32
 BUFFER = 1 << 18
 POSITION_BITS = 20
 
+#: A name for a stretch of bytes, and one for a window.
+Namer = Callable[[bytes], int]
+Digest = Callable[[bytes], bytes]
+
+
+def _seeded(seed: int) -> tuple[Namer, Digest]:
+    return (lambda stretch: xxhash.xxh3_64_intdigest(stretch, seed)), (lambda window: xxhash.xxh3_128_digest(window, seed))
+
+
+#: Naming functions in the order they are tried; the next ones are taken if two different strings got one name.
+NAMERS: tuple[tuple[Namer, Digest], ...] = tuple(map(_seeded, range(6)))
+#: Strings that a task remembers to send each but once.
+SEEN = 100_000
+
 
 def byte_table() -> np.ndarray:
     """256 fixed pseudo-random 64-bit words, from a SplitMix64 sequence."""
@@ -62,21 +75,22 @@ class Supermers:
     have equal grams at equal places.  A run of windows with one anchor is one
     stretch of text.  Arrays: ``doc``, ``start`` (in the text), ``count`` (of
     windows), ``lead`` (anchor minus start), ``gram`` (the anchor's hash) and
-    ``name`` (hash of the stretch).
+    ``name`` (hash of the stretch by the given function).  Gram and name together
+    name a stretch; whoever relies on it compares the bytes.
     """
 
-    def __init__(self, texts: list[bytes], length: int):
+    def __init__(self, texts: list[bytes], length: int, name: Namer):
         found: list[tuple] = []
         names: list[int] = []
         held, size = [], 0
         for piece in self._pieces(texts, length):
             if size and size + len(piece[2]) > BUFFER:
-                self._scan(held, length, found, names)
+                self._scan(held, length, name, found, names)
                 held, size = [], 0
             held.append(piece)
             size += len(piece[2])
         if held:
-            self._scan(held, length, found, names)
+            self._scan(held, length, name, found, names)
         columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 4 + [np.zeros(0, np.uint64)]
         self.doc, self.start, self.count, self.lead, self.gram = columns
         self.name = np.array(names, dtype=np.uint64)
@@ -93,7 +107,7 @@ class Supermers:
                     yield doc, at, text[at : at + BUFFER - 1]
 
     @staticmethod
-    def _scan(pieces: list[tuple[int, int, bytes]], length: int, found: list[tuple], names: list[int]) -> None:
+    def _scan(pieces: list[tuple[int, int, bytes]], length: int, name: Namer, found: list[tuple], names: list[int]) -> None:
         joined = b"".join(p[2] for p in pieces)
         sizes = np.array([len(p[2]) for p in pieces], dtype=np.int64)
         begin = np.cumsum(sizes) - sizes
@@ -113,9 +127,8 @@ class Supermers:
         docs = np.array([p[0] for p in pieces], dtype=np.int64)[piece[heads]]
         bases = np.array([p[1] for p in pieces], dtype=np.int64)[piece[heads]]
         found.append((docs, bases + offset[heads], count, picked[heads] - at, hashes[picked[heads]]))
-        digest = xxhash.xxh3_64_intdigest
         names.extend(
-            digest(joined[a:b]) for a, b in zip(at.tolist(), (at + count + length - 1).tolist(), strict=True)
+            name(joined[a:b]) for a, b in zip(at.tolist(), (at + count + length - 1).tolist(), strict=True)
         )
 
 
@@ -130,9 +143,10 @@ def repeated_windows(
 ) -> np.ndarray:
     """For each stretch and each place 0..length-GRAM of the anchor in a window: is that window repeated?
 
-    Stretches with one group number have the same anchor gram.  The windows with
-    the anchor at one place are equal if they agree on the bytes before it and
-    after it.  Radix passes order the stretches byte by byte outwards from the
+    Stretches with one group number have the same hash of their anchor grams.
+    The windows with the anchor at one place are equal if they agree on the
+    anchor's bytes, those before it and those after it.  After a pass over the
+    anchors radix passes order the stretches byte by byte outwards from the
     anchor, to the right and then to the left, no deeper than a window reaches;
     windows in one final class of both orders are equal.
     """
@@ -143,7 +157,9 @@ def repeated_windows(
         after = np.frombuffer(stretch, np.uint8, offset=lead + GRAM)
         right[k, : len(after)] = after
         left[k, :lead] = np.frombuffer(stretch, np.uint8, count=lead)[::-1]
+    anchors = np.frombuffer(b"".join(s[k : k + GRAM] for s, k in zip(stretches, leads.tolist(), strict=True)), f"V{GRAM}")
     _, start = np.unique(groups, return_inverse=True)
+    _, start = np.unique(start * n + np.unique(anchors, return_inverse=True)[1], return_inverse=True)
     rights = np.empty((reach + 1, n), dtype=np.int32)
     classes = start.astype(np.int64)
     rights[0] = classes
@@ -174,17 +190,17 @@ def to_signed(values: np.ndarray) -> np.ndarray:
     return values.astype(np.uint64).view(np.int64)
 
 
-def supermer_table(docs: DataFrame, text_col: str, length: int) -> DataFrame:
+def supermer_table(texts: DataFrame, length: int, name: Namer) -> DataFrame:
     """(gram, name, n, rows): each distinct stretch of a batch of texts, its count and the rows that hold it."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in small_batches(batches, 2048):
-            found = Supermers(texts_as_bytes(part.column(1)), length)
+            found = Supermers(texts_as_bytes(part.column(1)), length, name)
             if not len(found.doc):
                 continue
             order = np.lexsort((found.doc, found.name, found.gram))
-            gram, name, doc = found.gram[order], found.name[order], found.doc[order]
-            fresh = np.concatenate([[True], (gram[1:] != gram[:-1]) | (name[1:] != name[:-1])])
+            gram, names, doc = found.gram[order], found.name[order], found.doc[order]
+            fresh = np.concatenate([[True], (gram[1:] != gram[:-1]) | (names[1:] != names[:-1])])
             heads = np.flatnonzero(fresh)
             first = fresh | np.concatenate([[True], doc[1:] != doc[:-1]])
             held = np.flatnonzero(first)
@@ -193,20 +209,19 @@ def supermer_table(docs: DataFrame, text_col: str, length: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(to_signed(gram[heads])),
-                    pa.array(to_signed(name[heads])),
+                    pa.array(to_signed(names[heads])),
                     pa.array(np.diff(np.append(heads, len(gram)))),
                     pa.ListArray.from_arrays(pa.array(offsets), rows),
                 ],
                 ["gram", "name", "n", "rows"],
             )
 
-    frame = docs.select("__row", F.col(text_col).cast("string"))
-    return map_rows(frame, f"gram long, name long, n long, rows array<{ROW}>", work)
+    return map_rows(texts.select("row", "text"), f"gram long, name long, n long, rows array<{ROW}>", work)
 
 
-def packed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(row, doc_id, packed): texts compressed one by one, as they are shuffled twice."""
-    id_type = docs.schema[id_col].dataType.simpleString()
+def packed_texts(texts: DataFrame) -> DataFrame:
+    """(row, doc_id, packed): texts compressed one by one, as they are shuffled more than once."""
+    id_type = texts.schema["doc_id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compress = zstandard.ZstdCompressor(level=3).compress
@@ -216,26 +231,26 @@ def packed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 [part.column(0), part.column(1), pa.array(packed, pa.binary())], ["row", "doc_id", "packed"]
             )
 
-    frame = docs.select("__row", F.col(id_col), F.col(text_col).cast("string"))
-    return map_rows(frame, f"row {ROW}, doc_id {id_type}, packed binary", work)
+    return map_rows(texts.select("row", "doc_id", "text"), f"row {ROW}, doc_id {id_type}, packed binary", work)
 
 
 def unpack(packed: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(packed)
 
 
-def compared_stretches(texts: DataFrame, wanted: DataFrame, length: int, windows: bool) -> DataFrame:
-    """The bytes of the wanted stretches, from the row that stands for each (or the digests of their windows)."""
+def compared_stretches(texts: DataFrame, wanted: DataFrame, length: int, name: Namer) -> DataFrame:
+    """(gram, name, n, lead, count, stretch): the bytes of the wanted stretches, from the row that stands for each."""
     asked = wanted.groupBy(F.struct("file", "at").alias("row")).agg(
         F.collect_list(F.struct("gram", "name", "n")).alias("asked")
     )
     joined = texts.select("row", "packed").join(asked.hint("shuffle_hash"), "row").select("packed", "asked")
 
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-        for part in small_batches(batches, 256):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        for part in small_batches(batches, 256, 4 << 20):
             asked_for = part.column(1).to_pylist()
             texts = [unpack(p) for p in part.column(0).to_pylist()]
-            all_of = Supermers(texts, length)
+            all_of = Supermers(texts, length, name)
             grams, names = to_signed(all_of.gram).tolist(), to_signed(all_of.name).tolist()
             where: dict[tuple, int] = {}
             for k, key in enumerate(zip(all_of.doc.tolist(), grams, names, strict=True)):
@@ -248,35 +263,85 @@ def compared_stretches(texts: DataFrame, wanted: DataFrame, length: int, windows
                     rows.append(
                         (item["gram"], item["name"], item["n"], int(all_of.lead[k]), count, texts[doc][start : start + count + length - 1])
                     )
-            yield rows
-
-    def stretch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-        for rows in found(batches):
             columns = list(zip(*rows, strict=True)) if rows else [()] * 6
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)],
                 ["gram", "name", "n", "lead", "count", "stretch"],
             )
 
-    def window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_128_digest
-        for rows in found(batches):
-            for gram, name, n, _, count, stretch in rows:
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([digest(stretch[k : k + length]) for k in range(count)], pa.binary()),
-                        pa.array([gram] * count, pa.int64()),
-                        pa.array([name] * count, pa.int64()),
-                        pa.array([n] * count, pa.int64()),
-                        pa.array(range(count), pa.int64()),
-                    ],
-                    ["window", "gram", "name", "n", "k"],
-                )
-
-    if windows:
-        return map_rows(joined, "window binary, gram long, name long, n long, k long", window_rows)
-    return map_rows(joined, "gram long, name long, n long, lead long, count long, stretch binary", stretch_rows)
+    return map_rows(joined, "gram long, name long, n long, lead long, count long, stretch binary", work)
+
+
+def sent_once(pairs: Iterator[tuple], seen: dict) -> list[tuple]:
+    """The pairs (key, string) that the task, as far as it remembers, has not sent; strings are compared, not hashed."""
+    out = []
+    for key, string in pairs:
+        if (known := seen.get(key)) is None:
+            if len(seen) < SEEN:
+                seen[key] = string
+        elif known == string:
+            continue
+        out.append((key, string))
+    return out
+
+
+def ambiguous(strings: DataFrame, keys: list[str]) -> bool:
+    """Whether a key of (keys, string) has two different strings."""
+    distinct = strings.groupBy(*keys, "string").agg(F.lit(1).alias("one"))
+    return distinct.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").limit(1).count() > 0
+
+
+def dealt_windows(ws: Workspace, stretches: DataFrame, length: int) -> DataFrame:
+    """(gram, name, runs) as ``ordered_groups`` gives, for stretches of grams that are in too many of them for one task.
+
+    Windows are dealt out one by one under digests, which are counted where the
+    windows are before they are shuffled; then the bytes of those that occur
+    again are compared, each sent once a task, and if two differ under one
+    digest the next digest function is taken.
+    """
+    stretches = ws.table(stretches)
+    for _, digest in NAMERS:
+        dealt = ws.table(_window_table(stretches, length, digest))
+        again = ws.table(dealt.groupBy("window").agg(F.sum("n").alias("times"), F.count("*").alias("rows")).where("times > 1"))
+        found = join_groups(dealt, again, "window", "rows", dealt.count())
+        numbers = ws.table(found.groupBy("gram", "name").agg(F.max("n").alias("n"), F.sort_array(F.collect_list("k")).alias("ks")))
+        told = stretches.select("gram", "name", "stretch").join(numbers, ["gram", "name"]).select("stretch", "ks")
+        if not ambiguous(_window_bytes(told, length, digest), ["key"]):
+            runs = F.flatten(F.transform("ks", lambda k: F.array(k, k)))
+            return numbers.where("n = 1").select("gram", "name", runs.alias("runs"))
+    raise RuntimeError("every digest function gave two different windows one digest")
+
+
+def _window_table(stretches: DataFrame, length: int, digest: Digest) -> DataFrame:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, 64):
+            gram, name, n, _, count, stretch = (batch.column(k).to_pylist() for k in range(6))
+            times = np.array(count, dtype=np.int64)
+            of = np.repeat(np.arange(len(times)), times)
+            windows = [digest(s[k : k + length]) for s, c in zip(stretch, count, strict=True) for k in range(c)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(windows, pa.binary()),
+                    *(pa.array(np.array(x, dtype=np.int64)[of]) for x in (gram, name, n)),
+                    pa.array(np.arange(len(of)) - np.repeat(np.cumsum(times) - times, times)),
+                ],
+                ["window", "gram", "name", "n", "k"],
+            )
+
+    return map_rows(stretches, "window binary, gram long, name long, n long, k long", work)
+
+
+def _window_bytes(told: DataFrame, length: int, digest: Digest) -> DataFrame:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict = {}
+        for batch in small_batches(batches, 64):
+            windows = (s[k : k + length] for s, ks in zip(*(c.to_pylist() for c in batch.columns), strict=True) for k in ks)
+            rows = sent_once(((digest(w), w) for w in windows), seen)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], ["key", "string"]
+            )
+
+    return map_rows(told, "key binary, string binary", work)
 
 
 def ordered_groups(stretches: DataFrame, length: int, batch_rows: int) -> DataFrame:
@@ -322,74 +387,110 @@ def remove_repeats(
     """Find and remove every byte that a repeated ``length``-byte string covers.
 
     Windows of ``length`` bytes are grouped by anchor; stretches of windows that
-    occur whole more than once are repeated outright.  Of those that occur once,
-    only the ones whose anchor gram occurs elsewhere are compared: radix passes
-    order them through the window's depth and no further, and windows that stay
-    equal are the repeated ones.  Grams with more than ``group_limit`` different
-    stretches are dealt out window by window instead.  Strings are judged on the
+    occur whole more than once are repeated outright, and their bytes are
+    compared.  Of those that occur once, only the ones whose anchor gram occurs
+    elsewhere are ordered: radix passes go through the window's depth and no
+    further, and windows that stay equal are the repeated ones.  Grams with more
+    than ``group_limit`` different stretches are dealt out window by window
+    instead, with the same result (``dealt_windows``).  Hashes only bring
+    together what is then compared byte by byte.  Strings are judged on the
     input; matches never cross rows; overlaps count.
 
     Returns one row per input row: ``row`` (its address), ``doc_id``,
     ``n_bytes``, ``removed`` (maximal removed byte spans [start, end)) and
     ``kept`` (binary: the remaining bytes, concatenated).  Null texts are empty;
-    repeated rows are texts like others; null ids are carried; an empty table
-    gives no rows; other columns are ignored.
+    repeated rows are texts like others; null ids are carried; very long texts
+    are scanned in pieces; an empty table gives no rows; other columns are
+    ignored, whatever their names.
     """
-    docs = addressed(docs)
-    id_type = docs.schema[id_col].dataType.simpleString()
-    with Workspace(docs.sparkSession) as ws:
-        texts = packed_texts(docs, id_col, text_col)
-        supermers = ws.table(supermer_table(docs, text_col, length))
-        first = supermers.select("gram", "name", "n", F.col("rows")[0]["file"].alias("file"), F.col("rows")[0]["at"].alias("at"))
-        distinct = first.groupBy("gram", "name").agg(F.sum("n").alias("n"), F.first("file").alias("file"), F.first("at").alias("at"))
-        group = Window.partitionBy("gram")
-        judged = distinct.select(
-            "*", F.count("*").over(group).alias("kinds"), F.sum((F.col("n") == 1).cast("long")).over(group).alias("single")
+    texts = addressed(docs).texts(id_col, text_col)
+    id_type = texts.schema["doc_id"].dataType.simpleString()
+    packed = packed_texts(texts)
+    for name, _ in NAMERS:
+        with Workspace(docs.sparkSession) as ws:
+            decisions = ws.deliver(_decisions(ws, texts, packed, length, group_limit, name))
+        joined = packed.join(decisions.hint("shuffle_hash"), "row", "left")
+        if not ambiguous(_whole_bytes(joined, length, name), ["gram", "name"]):
+            schema = f"row {ROW}, doc_id {id_type}, n_bytes long, removed array<struct<start:bigint,end:bigint>>, kept binary"
+            return map_rows(joined.select("row", "doc_id", "packed", "whole", "parts"), schema, _remover(length, name))
+    raise RuntimeError("every naming function gave two different stretches one name")
+
+
+def _decisions(ws: Workspace, texts: DataFrame, packed: DataFrame, length: int, group_limit: int, name: Namer) -> DataFrame:
+    """(row, whole, parts): the stretches of each row that are repeated, whole or in part."""
+    supermers = ws.table(supermer_table(texts, length, name))
+    first = supermers.select("gram", "name", "n", F.col("rows")[0]["file"].alias("file"), F.col("rows")[0]["at"].alias("at"))
+    distinct = ws.table(
+        first.groupBy("gram", "name").agg(
+            F.sum("n").alias("n"), F.first("file").alias("file"), F.first("at").alias("at"), F.count("*").alias("batches")
         )
-        judged = ws.table(judged.where("n > 1 OR kinds > 1"))
-        compared = judged.where("kinds > 1 AND single > 0").select("gram", "name", "n", "file", "at", "kinds")
-        settled = [judged.where("n > 1").select("gram", "name", F.lit(None).cast("array<bigint>").alias("runs"))]
-        small = compared.where(F.col("kinds") <= group_limit)
-        settled.append(ordered_groups(compared_stretches(texts, small, length, False), length, 4096))
-        large = compared.where(F.col("kinds") > group_limit)
-        if large.limit(1).count():
-            dealt = ws.table(compared_stretches(texts, large, length, True))
-            again = dealt.groupBy("window").agg(F.sum("n").alias("times")).where("times > 1").select("window")
-            numbers = dealt.where("n = 1").join(again, "window", "left_semi").groupBy("gram", "name").agg(F.collect_list("k").alias("ks"))
-            settled.append(numbers.select("gram", "name", F.flatten(F.transform("ks", lambda k: F.array(k, k))).alias("runs")))
-        decided = settled[0]
-        for more in settled[1:]:
-            decided = decided.unionAll(more)
-        decided = ws.table(decided)
-        whole = F.col("runs").isNull()
-        by_row = (
-            supermers.select("gram", "name", "rows")
-            .join(decided, ["gram", "name"])
-            .select(F.explode("rows").alias("row"), "name", "runs")
-            .groupBy("row")
-            .agg(
-                F.collect_list(F.when(whole, F.col("name"))).alias("whole"),
-                F.collect_list(F.when(~whole, F.struct("name", "runs"))).alias("parts"),
-            )
+    )
+    grams = distinct.groupBy("gram").agg(F.count("*").alias("kinds"), F.count_if(F.col("n") == 1).alias("single"))
+    grams = ws.table(grams.where("kinds > 1 AND single > 0"))
+    compared = ws.table(join_groups(distinct, grams, "gram", "kinds", distinct.count()).drop("single", "batches"))
+    decided = distinct.where("n > 1").select("gram", "name", "batches", F.lit(None).cast("array<bigint>").alias("runs"))
+    small, large = compared.where(F.col("kinds") <= group_limit), compared.where(F.col("kinds") > group_limit)
+    some = ordered_groups(compared_stretches(packed, small, length, name), length, 4096)
+    if large.limit(1).count():
+        some = some.unionAll(dealt_windows(ws, compared_stretches(packed, large, length, name), length))
+    once = some.select("gram", "name", F.lit(1).cast("long").alias("batches"), "runs")
+    decided = ws.table(decided.unionAll(once))
+    held = join_groups(supermers.select("gram", "name", "rows"), decided, ["gram", "name"], "batches", supermers.count())
+    whole, key = F.col("runs").isNull(), F.struct("gram", "name")
+    return (
+        held.select(F.explode("rows").alias("row"), "gram", "name", "runs")
+        .groupBy("row")
+        .agg(
+            F.collect_list(F.when(whole, key)).alias("whole"),
+            F.collect_list(F.when(~whole, F.struct("gram", "name", "runs"))).alias("parts"),
         )
-        decisions = ws.deliver(by_row)
-    joined = texts.join(decisions.hint("shuffle_hash"), "row", "left")
-    schema = f"row {ROW}, doc_id {id_type}, n_bytes long, removed array<struct<start:bigint,end:bigint>>, kept binary"
-    return map_rows(joined.select("row", "doc_id", "packed", "whole", "parts"), schema, _remover(length))
+    )
+
+
+def _whole_bytes(joined: DataFrame, length: int, name: Namer) -> DataFrame:
+    """(gram, name, string): the bytes of each row's stretches that are taken for repeated whole, each sent once a task."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict = {}
+        for part in small_batches(batches, 256, 4 << 20):
+            texts = [unpack(p) for p in part.column(0).to_pylist()]
+            asked = [{(w["gram"], w["name"]) for w in whole} for whole in part.column(1).to_pylist()]
+            found = Supermers(texts, length, name)
+            columns = (found.doc, found.start, found.count, to_signed(found.gram), to_signed(found.name))
+            stretches = (
+                ((g, m), texts[doc][start : start + count + length - 1])
+                for doc, start, count, g, m in zip(*(c.tolist() for c in columns), strict=True)
+                if (g, m) in asked[doc]
+            )
+            rows = sent_once(stretches, seen)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([r[0][0] for r in rows], pa.int64()),
+                    pa.array([r[0][1] for r in rows], pa.int64()),
+                    pa.array([r[1] for r in rows], pa.binary()),
+                ],
+                ["gram", "name", "string"],
+            )
+
+    wanted = joined.where(F.size("whole") > 0).select("packed", "whole")
+    return map_rows(wanted, "gram long, name long, string binary", work)
+
+
+Rules = dict[tuple[int, int], list[int] | None]
 
 
-def removed_spans(texts: list[bytes], rules: list[dict[int, list[int] | None]], length: int) -> list[list[tuple[int, int]]]:
+def removed_spans(texts: list[bytes], rules: list[Rules], length: int, name: Namer) -> list[list[tuple[int, int]]]:
     """Maximal spans of bytes covered by the repeated windows of each text.
 
     Rules name a text's stretches with repeated windows; None stands for all of
     a stretch's windows, a list for runs of them.
     """
     change = [np.zeros(len(t) + 1, dtype=np.int32) if r else None for t, r in zip(texts, rules, strict=True)]
-    found = Supermers([t if r else b"" for t, r in zip(texts, rules, strict=True)], length)
-    columns = (found.doc, found.start, found.count, to_signed(found.name))
-    for doc, start, count, name in zip(*(c.tolist() for c in columns), strict=True):
-        if name in rules[doc]:
-            runs = rules[doc][name]
+    found = Supermers([t if r else b"" for t, r in zip(texts, rules, strict=True)], length, name)
+    columns = (found.doc, found.start, found.count, to_signed(found.gram), to_signed(found.name))
+    for doc, start, count, *key in zip(*(c.tolist() for c in columns), strict=True):
+        if (key := tuple(key)) in rules[doc]:
+            runs = rules[doc][key]
             for a, b in [(0, count - 1)] if runs is None else zip(runs[::2], runs[1::2], strict=True):
                 change[doc][start + a] += 1
                 change[doc][start + b + length] -= 1
@@ -410,15 +511,15 @@ def kept_bytes(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(text[a:b] for a, b in zip(ends, starts, strict=True))
 
 
-def _remover(length: int):
+def _remover(length: int, name: Namer):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in small_batches(batches, 256):
+        for part in small_batches(batches, 256, 4 << 20):
             texts = [unpack(p) for p in part.column(2).to_pylist()]
             rules = [
-                dict.fromkeys(whole or ()) | {p["name"]: p["runs"] for p in parts or ()}
+                {(w["gram"], w["name"]): None for w in whole or ()} | {(p["gram"], p["name"]): p["runs"] for p in parts or ()}
                 for whole, parts in zip(part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True)
             ]
-            spans = removed_spans(texts, rules, length)
+            spans = removed_spans(texts, rules, length, name)
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column(0),

@@ -44,9 +44,7 @@ def corpus():
     return texts
 
 
-@pytest.mark.parametrize(("length", "limit", "buffer"), [(64, 8192, 1 << 18), (64, 2, 1 << 18), (50, 8192, 400), (200, 8192, 1 << 18)])
-def test_equals_brute_force(spark, length, limit, buffer, monkeypatch):
-    monkeypatch.setattr(repeats, "BUFFER", buffer)
+def check(spark, length, limit):
     texts = corpus()
     rows = [(k if k % 7 else None, t, "r", 1) for k, t in enumerate(texts)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, row string, n int").repartition(3)
@@ -60,10 +58,34 @@ def test_equals_brute_force(spark, length, limit, buffer, monkeypatch):
     assert sum(bool(s) for *_, s, _ in expected) > 10
 
 
+@pytest.mark.parametrize(("length", "limit"), [(64, 8192), (64, 2), (50, 8192), (200, 8192)])
+def test_equals_brute_force(spark, length, limit):
+    check(spark, length, limit)
+
+
+@pytest.mark.parametrize("limit", [8192, 2])
+def test_names_that_collide(spark, limit, monkeypatch):
+    """Stretches and windows that share a name are told apart by their bytes, then named anew."""
+    one_name = (lambda stretch: len(stretch) % 5, lambda window: window[:3])
+    monkeypatch.setattr(repeats, "NAMERS", (one_name, repeats.NAMERS[1]))
+    check(spark, 64, limit)
+
+
+def test_anchors_that_collide():
+    """Stretches of one group number whose anchors differ share no window."""
+    rng = np.random.default_rng(1)
+    side = rng.integers(97, 101, 40, dtype=np.uint8).tobytes()
+    grams = [rng.integers(97, 101, repeats.GRAM, dtype=np.uint8).tobytes() for _ in range(2)]
+    stretches = [side + grams[k] + side for k in (0, 1, 0)]
+    leads, counts = np.full(3, 40), np.full(3, 41)
+    found = repeats.repeated_windows(np.zeros(3, np.int64), stretches, leads, counts, np.ones(3, np.int64), 72)
+    assert found[0].all() and found[2].all() and not found[1].any()
+
+
 def test_pieces_of_long_texts_share_no_window(monkeypatch):
     monkeypatch.setattr(repeats, "BUFFER", 300)
     text = bytes(np.random.default_rng(0).integers(97, 101, 1700, dtype=np.uint8))
-    found = repeats.Supermers([b"tiny", text], 64)
+    found = repeats.Supermers([b"tiny", text], 64, repeats.NAMERS[0][0])
     starts = sorted(s + k for s, c in zip(found.start.tolist(), found.count.tolist(), strict=True) for k in range(c))
     assert starts == list(range(len(text) - 64 + 1)) and set(found.doc.tolist()) == {1}
 
