@@ -12,6 +12,7 @@ from datetime import UTC, datetime
 from functools import cached_property
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +39,8 @@ from tarn.plans.fingerprints import catalog_fingerprint, query_fingerprint
 from tarn.plans.policy import Guards, Limits
 from tarn.plans.request import read_request
 from tarn.runtime import CatalogRuntime, Snapshot
+from tarn.sources.inspection import check_identity
+from tarn.sources.readers import database_error
 
 
 def plain(value: Any) -> Any:
@@ -55,23 +58,42 @@ class QueryResult:
     reports: dict[int, Report] = field(default_factory=dict)
     page_size: int = 0
     timeout_seconds: float | None = None
+    id_columns: tuple[str, ...] = ("id",)
 
     @cached_property
     def rows(self) -> tuple[dict[str, Any], ...]:
         names = self.dataframe.columns
         with limited(self.dataframe.sparkSession, self.timeout_seconds):
-            return tuple({n: plain(v) for n, v in zip(names, row, strict=True)} for row in self.dataframe.collect())
+            found = tuple({n: plain(v) for n, v in zip(names, row, strict=True)} for row in self.dataframe.collect())
+        keys = [tuple(row[n] for n in self.id_columns) for row in found]
+        if any(k[0] is None for k in keys) or len(set(keys)) < len(keys):
+            raise broken_ids()
+        return found
 
     @property
     def exact(self) -> bool:
         return all(r.exact for r in self.reports.values())
 
 
+def failed(error: BaseException) -> ExecutionError:
+    """A failure that a source's database told of, else of the query; neither shows what it was about."""
+    code = database_error(error)
+    return ExecutionError(code or "query_execution_failed", "The query failed while it ran.", retryable=code == "source_unavailable")
+
+
+def broken_ids(source: str | None = None) -> ExecutionError:
+    where = f"Source '{source}'" if source else "A source"
+    return ExecutionError("query_plan_invariant_violation", f"{where} holds missing or repeated ids.", source_name=source)
+
+
 @contextmanager
 def limited(spark: SparkSession, seconds: float | None) -> Iterator[None]:
-    """Cancel this thread's jobs when time is up, and say so."""
+    """Cancel this thread's jobs when time is up, and say so; what fails in Spark or a source fails with a code."""
     if seconds is None:
-        yield
+        try:
+            yield
+        except (PySparkException, Py4JJavaError) as error:
+            raise failed(error) from error
         return
     if seconds <= 0:
         raise ExecutionError("query_timeout", "The query took too long.", retryable=True)
@@ -86,10 +108,10 @@ def limited(spark: SparkSession, seconds: float | None) -> Iterator[None]:
     timer.start()
     try:
         yield
-    except PySparkException as error:
+    except (PySparkException, Py4JJavaError) as error:
         if late.is_set():
             raise ExecutionError("query_timeout", "The query took too long.", retryable=True) from error
-        raise ExecutionError("query_execution_failed", "The query failed while it ran.") from error
+        raise failed(error) from error
     except Exception as error:
         if late.is_set() and not isinstance(error, (QueryError, ExecutionError)):
             raise ExecutionError("query_timeout", "The query took too long.", retryable=True) from error
@@ -124,12 +146,29 @@ class Engine:
         deadline = None if timeout_seconds is None else time.monotonic() + timeout_seconds
         reports: dict[int, Report] = {}
         with limited(self.spark, timeout_seconds):
+            self._check_ids(snapshot, bound)
             frame = self._build(snapshot, bound, reports, deadline)
         left = None if deadline is None else deadline - time.monotonic()
         return QueryResult(
-            frame, query_fingerprint(bound), catalog_fingerprint(snapshot.catalog), reports, bound.limit, left
+            frame, query_fingerprint(bound), catalog_fingerprint(snapshot.catalog), reports, bound.limit, left,
+            ("id", f"{bound.link.alias}.id") if bound.link else ("id",),
         )
 
+    def _check_ids(self, snapshot: Snapshot, bound: Bound) -> None:
+        """Refuse to assemble records from a source whose ids are not unique.
+
+        The ids of each source that takes part are read once for each
+        activation, at its first query; with declared keys that are trusted
+        (``Guards.trusted_ids``) never.  What a page holds is always checked.
+        """
+        if self.guards.trusted_ids:
+            return
+        for side in filter(None, (bound.root, bound.other)):
+            for source in owners(snapshot, side).fields:
+                held = snapshot.catalog.sources[source].datasets[side.dataset]
+                if not check_identity(snapshot.inspections[source], side.dataset, held):
+                    raise broken_ids(source)
+
     def explain(self, query: Any) -> Explanation:
         snapshot = self.runtime.require_active()
         bound = self.bind(query, snapshot)

@@ -18,8 +18,12 @@ class Limits:
 
 @dataclass(frozen=True)
 class Guards:
-    """Row guards for callers that want a refusal instead of a long query; None is no guard."""
+    """Row guards for callers that want a refusal instead of a long query; None is no guard.
+
+    With ``trusted_ids`` no source's ids are read to see that they are unique.
+    """
 
     scan_rows: int | None = None
     joined_rows: int | None = None
     sorted_rows: int | None = None
+    trusted_ids: bool = False

@@ -35,10 +35,13 @@ class Refresh:
 
 
 class CatalogRuntime:
-    """Holds the active snapshot; a candidate that fails leaves the old one in place."""
+    """Holds the active snapshot; a candidate that fails leaves the old one in place.
 
-    def __init__(self, spark: SparkSession, load: Callable[[], Catalog], connections: Connections):
-        self._spark, self._load, self._connections = spark, load, connections
+    With ``ids`` every id of every source is read before a catalog is activated.
+    """
+
+    def __init__(self, spark: SparkSession, load: Callable[[], Catalog], connections: Connections, *, ids: bool = True):
+        self._spark, self._load, self._connections, self._ids = spark, load, connections, ids
         self._active: Snapshot | None = None
         self._lock = threading.Lock()
 
@@ -58,7 +61,7 @@ class CatalogRuntime:
             except CatalogError as error:
                 return Refresh("load_failed", reason=str(error))
             found = {
-                name: inspect_source(self._spark, name, source, catalog, self._connections)
+                name: inspect_source(self._spark, name, source, catalog, self._connections, ids=self._ids)
                 for name, source in catalog.sources.items()
             }
             by_source = {name: tuple(i.findings) for name, i in found.items()}

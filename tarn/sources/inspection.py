@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,7 +44,7 @@ class Finding:
 
 @dataclass
 class Inspection:
-    """What a source holds: per dataset its columns with type families and its row count."""
+    """What a source holds: per dataset its columns with type families and, once its ids were read, rows and uniqueness."""
 
     source: str
     columns: dict[str, dict[str, str]] = field(default_factory=dict)
@@ -71,7 +72,15 @@ def identity_counts(frame: DataFrame, columns: list[str]) -> tuple[int, bool]:
     return found.rows or 0, (found.most or 0) <= 1 and not found.nulls
 
 
-def _inspect_dataset(found: Inspection, name: str, held: Representation, frame: DataFrame, catalog: Catalog) -> None:
+def check_identity(found: Inspection, dataset: str, held: Representation) -> bool:
+    """Whether the ids of a dataset in this source are unique and never null; read at the first call, remembered after it."""
+    if dataset not in found.unique:
+        columns = [held.columns[i] for i in held.identity]
+        found.rows[dataset], found.unique[dataset] = identity_counts(found.frames[dataset], columns)
+    return found.unique[dataset]
+
+
+def _inspect_dataset(found: Inspection, name: str, held: Representation, frame: DataFrame, catalog: Catalog, ids: bool) -> None:
     found.columns[name] = {c.name: family(c.dataType) for c in frame.schema.fields}
     missing = False
     for logical, physical in held.columns.items():
@@ -80,17 +89,15 @@ def _inspect_dataset(found: Inspection, name: str, held: Representation, frame:
             missing |= logical in held.identity
         elif found.columns[name][physical] not in ACCEPTS[catalog.datasets[name].fields[logical].type]:
             found.findings.append(Finding("field_type_incompatible", found.source, name, logical))
-    if not missing:
-        found.rows[name], found.unique[name] = identity_counts(frame, [held.columns[i] for i in held.identity])
-        if not found.unique[name]:
-            found.findings.append(Finding("identity_not_unique", found.source, name, "id"))
     found.frames[name] = frame
+    if ids and not missing and not check_identity(found, name, held):
+        found.findings.append(Finding("identity_not_unique", found.source, name, "id"))
 
 
 def inspect_source(
-    spark: SparkSession, name: str, source: Source, catalog: Catalog, connections: Connections
+    spark: SparkSession, name: str, source: Source, catalog: Catalog, connections: Connections, *, ids: bool = True
 ) -> Inspection:
-    """Open every resource of a source and compare it with the catalog."""
+    """Open every resource of a source and compare it with the catalog; with ``ids`` all its ids are read."""
     found = Inspection(name)
     try:
         address = connections.resolve(source.connection_ref)
@@ -103,8 +110,8 @@ def inspect_source(
             frame.schema  # noqa: B018  (resolves the resource)
         except SourceError as error:
             found.findings.append(Finding(error.code.value, name, dataset))
-        except PySparkException:
+        except (PySparkException, Py4JJavaError):
             found.findings.append(Finding("resource_not_found", name, dataset))
         else:
-            _inspect_dataset(found, dataset, held, frame, catalog)
+            _inspect_dataset(found, dataset, held, frame, catalog, ids)
     return found

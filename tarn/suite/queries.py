@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.catalog import Metric, build_catalog
+from tarn.client import connect
 from tarn.errors import TarnError
 from tarn.operators.nearest import find_binding, nearest
 from tarn.operators.scan import key_lookup, scan
@@ -18,7 +19,7 @@ from tarn.plans.policy import Guards
 from tarn.plans.terms import Term, register_term
 from tarn.sources.connections import Connections
 from tarn.sources.inspection import inspect_source
-from tarn.suite.tables import DATASETS, database, documents, proposition_vector
+from tarn.suite.tables import DATASETS, catalog, database, documents, proposition_vector
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -143,7 +144,8 @@ CASES["vector_store_scan"] = Case(
 
 
 def _inspect(spark: SparkSession, sf: str) -> DataFrame:
-    active = database(spark, sf)._runtime.require_active()
+    with connect(catalog(), {"lake": sf}, spark=spark, check_ids=True) as db:
+        active = db._runtime.require_active()
     found = [
         (source, dataset, one.rows[dataset], len(one.columns[dataset]), one.unique[dataset])
         for source, one in active.inspections.items()
@@ -266,14 +268,31 @@ doc("combine_empty_short_circuit", {"all": [f("quality", "eq", 77), f("cluster",
 doc("combine_unused_source", f("length", "gt", 3000), "length > 3000", ["lang", "length"])
 
 
+_LINES = {
+    "id": ("id", "orders", "o_orderkey"),
+    "customer_id": ("id", "orders", "o_custkey"),
+    "status": ("string", "orders", "o_orderstatus"),
+    "quantity": ("float", "lineitem", "l_quantity"),
+}
+
+
 def _id_integrity(spark: SparkSession, sf: str) -> DataFrame:
-    catalog = build_catalog(*documents({"line": WRONG["line"], "nation": DATASETS["nation"]}))
-    found = inspect_source(spark, "lineitem", catalog.sources["lineitem"], catalog, Connections({"lake": sf}))
-    return rows(spark, "code string, unique boolean", [(found.findings[0].code, found.unique["line"])])
+    """Queries on a record whose contributor repeats ids: each is answered, or refused with a code."""
+    found = []
+    with connect(build_catalog(*documents({"order": _LINES, "customer": DATASETS["customer"]})), {"lake": sf}, spark=spark) as db:
+        for select in (["status"], ["status", "quantity"]):
+            try:
+                outcome = f"{len(db.query({'from': {'dataset': 'order'}, 'select': select, 'page': {'first': 7}}).rows)} rows"
+            except TarnError as error:
+                outcome = error.code.value
+            found.append((",".join(select), outcome))
+    return rows(spark, "selected string, outcome string", found)
 
 
 CASES["combine_id_integrity"] = Case(
-    _id_integrity, "SELECT 'identity_not_unique' AS code, count(*) = count(DISTINCT l_orderkey) AS \"unique\" FROM lineitem"
+    _id_integrity,
+    "SELECT 'status' AS selected, least(count(*), 7) || ' rows' AS outcome FROM orders UNION ALL "
+    "SELECT 'status,quantity', CASE WHEN count(*) > count(DISTINCT l_orderkey) THEN 'query_plan_invariant_violation' ELSE '7 rows' END FROM lineitem",
 )
 
 # --- relationships -----------------------------------------------------------

@@ -68,7 +68,7 @@ DATASETS: dict[str, dict[str, tuple[str, str, str]]] = {
     },
     "page": {"id": ("id", "pages", "page_id"), "url": ("string", "pages", "url"), "html": ("text", "pages", "html")},
 }
-IDENTITIES = {("document", "labels"): "doc_id", ("document", "embeddings"): "vec_id"}
+IDENTITIES = {("document", "labels"): "doc_id", ("document", "embeddings"): "vec_id", ("order", "lineitem"): "l_orderkey"}
 INTERNAL = {("page", "html")}
 RELATIONSHIPS = {
     "customer_orders": ("customer.id", "order.customer_id", "one_to_many", ["placed"]),
@@ -149,7 +149,7 @@ _open: dict[tuple, Database] = {}
 
 
 def database(spark: SparkSession, sf_dir: str, semantic: str | None = None, guards: Guards = Guards(), metric: str = "cosine") -> Database:
-    """The open catalog over one folder of tables; inspected once for each session and folder."""
+    """The open catalog over one folder of tables; inspected once for each session and folder, ids at first use."""
     key = (spark.sparkContext.applicationId, sf_dir, semantic, guards, metric)
     if key not in _open:
         providers = Semantics(KeywordVerifier(), FixedEmbedder(), preference=semantic) if semantic else None

@@ -301,6 +301,43 @@ def test_guards_and_tools(spark, lake, db):
     assert "crm.parquet" not in json.dumps(tools.explain({"from": {"dataset": "customer"}}))
 
 
+def spoiled(tmp_path, crm=ACCOUNTS, billing=BILLING):
+    for name, frame in (("crm", crm), ("billing", billing), ("support", SUPPORT)):
+        frame.to_parquet(tmp_path / f"{name}.parquet", coerce_timestamps="us")
+    return {"lake": str(tmp_path)}
+
+
+def test_repeated_or_missing_ids_of_a_source_are_refused(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "b").mkdir()
+    twice = spoiled(tmp_path / "a", billing=pd.concat([BILLING, BILLING[:1]]))
+    empty = spoiled(tmp_path / "b", crm=ACCOUNTS.assign(account=[None, *ACCOUNTS.account[1:]]))
+    asked = {"from": {"dataset": "customer"}, "select": ["plan"]}
+    for lake in (twice, empty):
+        db = connect(build_catalog(*parts()), lake, spark=spark)
+        with pytest.raises(TarnError) as error:
+            db.query(asked)
+        assert error.value.code == "query_plan_invariant_violation" and error.value.detail.source_name in ("billing", "crm")
+        with pytest.raises(TarnError) as error:
+            connect(build_catalog(*parts()), lake, spark=spark, check_ids=True)
+        assert error.value.code == "source_validation_failed"
+    db = connect(build_catalog(*parts()), twice, spark=spark)
+    assert len(db.query({"from": {"dataset": "customer"}, "select": ["tier"]}).rows) == 12  # billing takes no part
+    assert db.status()["ids"] == {"crm": 1, "billing": 0, "support": 1}
+    trusting = connect(build_catalog(*parts()), twice, spark=spark, guards=Guards(trusted_ids=True))
+    found = trusting.query(asked)
+    assert trusting.status()["ids"] == {"crm": 0, "billing": 0, "support": 0}
+    assert code_of(lambda: found.rows)[0] == "query_plan_invariant_violation"  # a page that holds one is refused
+
+
+def test_descriptions_hide_internal_fields_and_sources(db):
+    about = db.describe()
+    assert about["customer"]["fields"]["name"] == {"type": "string", "semantic": True}
+    assert set(about["customer"]["relationships"]) == {"boss", "one_way", "edge"}
+    told = json.dumps(about) + json.dumps(db.status())
+    assert "physical" not in told and "account" not in told and "parquet" not in told
+
+
 def test_rendering():
     assert jsonable({"a": float("nan"), "b": b"\x00", "c": [1, None]}) == {"a": None, "b": "AA==", "c": [1, None]}
     assert table([{"id": 1, "x": None}]).splitlines()[0].split() == ["id", "x"] and table([]) == "(no rows)"
