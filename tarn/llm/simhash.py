@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import ROW, Workspace, addressed, keep_rows, map_rows, small_batches, texts_as_bytes
+from tarn.llm.common import ROW, Rows, Workspace, addressed, join_groups, map_rows, small_batches, texts_as_bytes
 from tarn.llm.components import connected_components
 
 BITS = 64
@@ -114,11 +114,9 @@ def half_ball(value: int, radius: int) -> np.ndarray:
     return np.array(flips, dtype=np.uint64) ^ np.uint64(value)
 
 
-def fingerprints(
-    docs: DataFrame, *, shingle: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """(row, doc_id, fp) of an addressed frame: each row's fingerprint as a signed long; texts without words have zero."""
-    id_type = docs.schema[id_col].dataType.simpleString()
+def fingerprints(texts: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame:
+    """(row, doc_id, fp): each text's fingerprint as a signed long; texts without words have zero."""
+    id_type = texts.schema["doc_id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in small_batches(batches):
@@ -127,8 +125,7 @@ def fingerprints(
                 [part.column(0), part.column(1), pa.array(found, pa.int64())], ["row", "doc_id", "fp"]
             )
 
-    frame = docs.select("__row", F.col(id_col), F.col(text_col).cast("string"))
-    return map_rows(frame, f"row {ROW}, doc_id {id_type}, fp long", work)
+    return map_rows(texts.select("row", "doc_id", "text"), f"row {ROW}, doc_id {id_type}, fp long", work)
 
 
 def near_links(ws: Workspace, distinct: DataFrame, radius: int, bucket_limit: int) -> DataFrame:
@@ -206,34 +203,36 @@ def near_groups(
     smallest non-null id reachable; null only if all are null) and
     ``component_row`` (the one row that stands for the component: of its rows
     with that id the first).  Null, empty and blank texts have fingerprint zero
-    and are linked like any other.  Repeated rows are members like others; an
-    empty table gives no rows; other columns are ignored.
+    and are linked like any other.  Repeated rows are members like others; very
+    long texts are hashed in blocks of words; an empty table gives no rows;
+    other columns are ignored, whatever their names.
     """
     return _groups(addressed(docs), shingle, radius, seed, bucket_limit, id_col, text_col)
 
 
+def component_least(ws: Workspace, nodes: DataFrame, roots: DataFrame, node: str) -> DataFrame:
+    """The table ``nodes`` (``node``, first, ...) with the least ``first`` of each node's component as ``least``."""
+    named = ws.table(nodes.join(roots.withColumnRenamed("node", node), node, "left").withColumn("root", F.coalesce("root", node)))
+    least = named.groupBy("root").agg(F.min("first").alias("least"), F.count("*").alias("nodes"))
+    return join_groups(named, least, "root", "nodes", named.count())
+
+
 def _groups(
-    docs: DataFrame, shingle: int, radius: int, seed: int, bucket_limit: int, id_col: str, text_col: str
+    docs: Rows, shingle: int, radius: int, seed: int, bucket_limit: int, id_col: str, text_col: str
 ) -> DataFrame:
-    with Workspace(docs.sparkSession) as ws:
-        rows = ws.table(
-            fingerprints(docs, shingle=shingle, seed=seed, id_col=id_col, text_col=text_col)
-        )
+    with Workspace(docs.docs.sparkSession) as ws:
+        rows = ws.table(fingerprints(docs.texts(id_col, text_col), shingle, seed))
         first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
-        distinct = ws.table(rows.groupBy("fp").agg(F.min(first).alias("first")))
-        roots = connected_components(ws, near_links(ws, distinct, radius, bucket_limit))
-        named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
-            "fp", "first", F.coalesce("root", "fp").alias("root")
-        )
-        least = named.groupBy("root").agg(F.min("first").alias("first"))
-        classes = named.select("fp", "root").join(least, "root").select("fp", "first")
+        distinct = ws.table(rows.groupBy("fp").agg(F.min(first).alias("first"), F.count("*").alias("n")))
+        roots = connected_components(ws, near_links(ws, distinct.select("fp"), radius, bucket_limit))
+        classes = ws.table(component_least(ws, distinct, roots, "fp").select("fp", "n", "least"))
         return ws.deliver(
-            rows.join(classes, "fp").select(
+            join_groups(rows, classes, "fp", "n", rows.count()).select(
                 "row",
                 "doc_id",
                 "fp",
-                F.col("first.doc_id").alias("component_id"),
-                F.col("first.row").alias("component_row"),
+                F.col("least.doc_id").alias("component_id"),
+                F.col("least.row").alias("component_row"),
             )
         )
 
@@ -241,7 +240,10 @@ def _groups(
 def drop_near_copies(
     docs: DataFrame, *, shingle: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """The rows of ``docs``, one of each component; all columns are kept."""
-    docs = addressed(docs)
-    groups = _groups(docs, shingle, radius, 42, 16384, id_col, text_col)
-    return keep_rows(docs, groups.where("row = component_row").select(F.col("row").alias("__row")))
+    """The rows of ``docs``, one of each component (see ``near_groups``: nulls, ties, repeats, long texts).
+
+    All columns are kept, whatever their names; an empty table stays empty.
+    """
+    rows = addressed(docs)
+    groups = _groups(rows, shingle, radius, 42, 16384, id_col, text_col)
+    return rows.keep(groups.where("row = component_row"))

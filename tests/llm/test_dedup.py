@@ -56,13 +56,21 @@ def test_exact_groups_equal_brute_force(spark, rows):
     assert sum(r.kept for r in found) == len(groups)
 
 
-def test_identifier_collision_takes_the_next_function(spark, rows, monkeypatch):
+def test_identifier_collisions_take_the_next_function(spark, rows, monkeypatch):
+    good = exact_dedup.IDENTIFIERS[-1]
     weak = lambda chunk: bytes([len(chunk) % 3])
-    monkeypatch.setattr(exact_dedup, "IDENTIFIERS", (weak, exact_dedup.IDENTIFIERS[-1]))
-    frame = spark.createDataFrame(rows, SCHEMA)
-    with Workspace(spark) as ws:
-        assert exact_dedup.verified_identifier(ws, frame, "text") is exact_dedup.IDENTIFIERS[-1]
-    assert sum(r.kept for r in exact_dedup.exact_groups(frame).collect()) == len({lower(t) for _, t, *_ in rows})
+    lists = lambda chunk: b"same" if len(chunk) % 32 == 0 else good(chunk)
+    for bad in (weak, lists):
+        monkeypatch.setattr(exact_dedup, "IDENTIFIERS", (bad, good))
+        found = exact_dedup.exact_groups(spark.createDataFrame(rows, SCHEMA))
+        assert sum(r.kept for r in found.collect()) == len({lower(t) for _, t, *_ in rows})
+
+
+def test_long_texts_are_cut_alike_in_blocks(monkeypatch):
+    text = words(random.Random(4), 40000).encode()
+    whole = exact_dedup.cut_points(text)
+    monkeypatch.setattr(exact_dedup, "BLOCK", 1000)
+    assert exact_dedup.cut_points(text) == whole and whole[-1] == len(text)
 
 
 def test_drop_exact_copies_keeps_columns(spark, rows):
