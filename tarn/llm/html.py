@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import Workspace, addressed, map_rows, small_batches
+from tarn.llm.common import ROW, Workspace, addressed, join_groups, map_rows, small_batches
+from tarn.llm.repeats import BUFFER, GRAM, gram_hashes
 
 # Names and words of the HTML vocabulary.
 RAW = {"script", "style", "noscript", "template", "title", "textarea", "svg", "iframe", "object", "select"}
@@ -48,11 +51,9 @@ LAYOUT_WORDS = {"has", "layout", "no", "with", "without"}
 HEADER_WORDS = {"global", "header", "main", "page", "site", "top"}
 MAIN = {"article", "main"}
 
-TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>",
-    re.DOTALL,
-)
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+#: What ends a tag or opens a quoted value in it.
+STOP = re.compile(r">|=\s*([\"'])")
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 WORDS = re.compile(r"[a-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -66,21 +67,76 @@ def attributes(rest: str) -> dict[str, str]:
     return found
 
 
-@dataclass
+def tokens(source: str) -> Iterator[tuple[str, str, str]]:
+    """(kind, name, rest) of a page's text, start and end tags; each character is looked at a bounded number of times.
+
+    Comments, declarations and what raw elements hold are left out; of a tag
+    without an end nothing is left.
+    """
+    at, size, unclosed = 0, len(source), set()
+    while at < size:
+        lt = source.find("<", at)
+        if lt < 0:
+            yield "text", "", source[at:]
+            return
+        follow = source[lt + 1 : lt + 2]
+        ending = follow == "/"
+        m = NAME.match(source, lt + 1 + ending)
+        if m is None and follow not in ("!", "?", "/"):
+            yield "text", "", source[at : lt + 1]
+            at = lt + 1
+            continue
+        if lt > at:
+            yield "text", "", source[at:lt]
+        if m is None:
+            closing = "-->" if source.startswith("<!--", lt) else "]]>" if source.startswith("<![CDATA[", lt) else ">"
+            stop = source.find(closing, lt + 2)
+            at = size if stop < 0 else stop + len(closing)
+            continue
+        stop = m.end()
+        while True:
+            s = STOP.search(source, stop)
+            if s is None:
+                return
+            if s[1] is None:
+                break
+            stop = s.end()
+            if s[1] not in unclosed:
+                closed = source.find(s[1], stop)
+                if closed < 0:
+                    unclosed.add(s[1])
+                else:
+                    stop = closed + 1
+        tag, at = m[0].lower(), s.end()
+        yield "end" if ending else "start", tag, source[m.end() : s.start()]
+        if tag in RAW and not ending:
+            over = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(source, at)
+            at = over.end() if over else size
+
+
+@dataclass(slots=True)
 class Element:
-    """``foreign``: boilerplate that no article inside it can leave; ``unseen``: by more than a name."""
+    """``foreign``: boilerplate that no article inside it can leave; ``unseen``: by more than a name.
+
+    ``key`` names the branch: the tags from the root, each with its class, id
+    and role names and whether it is hidden.  ``inside``: whether it or an element around it is an
+    article, a foreign one too.
+    """
 
     tag: str
-    key: str
-    boilerplate: bool
-    main: bool
+    key: int
+    above: tuple[int, int]
+    boilerplate: bool = False
+    main: bool = False
     foreign: bool = False
     unseen: bool = False
+    inside: bool = False
+    open: bool = True
 
 
-@dataclass
+@dataclass(slots=True)
 class Block:
-    key: str
+    key: int
     boilerplate: bool
     main: bool
     text: str
@@ -88,21 +144,34 @@ class Block:
 
 @dataclass
 class Page:
-    """A page's text blocks in order, and for each branch key the tags of its children.
+    """A page's text blocks in order, and of each branch the tags of its children and the two branches above it.
 
     ``articles``: for each outermost article, seen ones only, whether the name of an element around it is foreign.
     """
 
     blocks: list[Block] = field(default_factory=list)
-    children: dict[str, list[str]] = field(default_factory=dict)
+    children: dict[int, list[str]] = field(default_factory=lambda: defaultdict(list))
+    above: dict[int, tuple[int, int]] = field(default_factory=dict)
     articles: list[bool] = field(default_factory=list)
+    leaves: bool = False
 
+    @property
+    def marked(self) -> bool:
+        return any(b.main and not b.boilerplate for b in self.blocks)
 
-def element(tag: str, rest: str, parent: Element, leaves: bool = False) -> Element:
-    """An element with its branch key: the path of tags, each with its class, id and role names.
+    def furniture(self) -> set[int]:
+        """The branches that the page itself declares to be none of its article."""
+        marked = self.marked
+        return {b.key for b in self.blocks if b.boilerplate or (marked and not b.main)}
 
-    With ``leaves`` an article is one whatever the elements around it are named.
-    """
+
+def signed_hash(text: str) -> int:
+    value = xxhash.xxh64_intdigest(text)
+    return value - (1 << 64) if value >= 1 << 63 else value
+
+
+def element(tag: str, rest: str, parent: Element, leaves: bool) -> Element:
+    """A new element; with ``leaves`` an article is one whatever the elements around it are named."""
     if not rest.strip(" /"):
         names, hidden, role = "", False, ""
     else:
@@ -113,7 +182,8 @@ def element(tag: str, rest: str, parent: Element, leaves: bool = False) -> Eleme
     words = set(WORDS.findall(f"{CAMEL.sub(' ', names)} {names}".lower())) if names else set()
     furniture = bool(words & FURNITURE_WORDS) and not words & LAYOUT_WORDS
     header = "header" in words and words <= HEADER_WORDS
-    outermost = (tag in MAIN or role == "main") and not parent.main
+    article = tag in MAIN or role == "main"
+    outermost = article and not parent.main
     unseen = parent.unseen or hidden or tag in FOREIGN_TAGS
     foreign = unseen or (parent.foreign and not (leaves and outermost))
     if tag in ("html", "body", "main"):
@@ -129,8 +199,56 @@ def element(tag: str, rest: str, parent: Element, leaves: bool = False) -> Eleme
     starts = outermost and not foreign
     boilerplate = foreign or ((parent.boilerplate or noise) and not starts)
     main = parent.main or starts
-    sign = tag + "".join(f".{w}" for w in sorted(words)) + (f"@{role}" if role else "")
-    return Element(tag, f"{parent.key}/{sign}", boilerplate, main, foreign, unseen)
+    sign = tag + "".join(f".{w}" for w in sorted(words)) + (f"@{role}" if role else "") + ("~" if hidden else "")
+    key = signed_hash(f"{parent.key:x}/{sign}")
+    inside = parent.inside or main or (foreign and tag in MAIN)
+    return Element(tag, key, (parent.key, parent.above[0]), boilerplate, main, foreign, unseen, inside)
+
+
+class Stack:
+    """Open elements, with the places of each tag's, so that a search among them takes no walk."""
+
+    def __init__(self, root: Element):
+        self.elements = [root]
+        self.places: dict[str, list[int]] = defaultdict(list)
+        self.blocks = [0]
+
+    @property
+    def top(self) -> Element:
+        return self.elements[-1]
+
+    @property
+    def holder(self) -> Element:
+        """The innermost open block element."""
+        return self.elements[self.blocks[-1]]
+
+    def push(self, made: Element) -> None:
+        self.places[made.tag].append(len(self.elements))
+        if made.tag in BLOCKS:
+            self.blocks.append(len(self.elements))
+        self.elements.append(made)
+
+    def last(self, tags: set[str]) -> int:
+        """The place of the innermost open element with one of the tags; -1 if there is none."""
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=-1)
+
+    def cut(self, place: int) -> None:
+        """Close the element at a place and all inside it."""
+        while len(self.elements) > place:
+            gone = self.elements.pop()
+            if gone.open:
+                self.places[gone.tag].pop()
+            if self.blocks[-1] == len(self.elements):
+                self.blocks.pop()
+
+    def end_inline(self, tag: str) -> None:
+        """Close the innermost inline element of a tag, if no block stands in it; those inside it stay open."""
+        place = self.last({tag})
+        if place > self.blocks[-1]:
+            self.elements[place].open = False
+            self.places[tag].pop()
+            while not self.top.open:
+                self.elements.pop()
 
 
 def parse(source: str) -> Page:
@@ -141,8 +259,7 @@ def parse(source: str) -> Page:
 
 def _parse(source: str, leaves: bool) -> Page:
     """One reading; unclosed and misplaced tags are mended as browsers do for the common cases."""
-    page, root = Page(), Element("", "", False, False)
-    stack: list[Element] = [root]
+    page, stack = Page(leaves=leaves), Stack(Element("", 0, (0, 0)))
     parts: list[str] = []
 
     def flush() -> None:
@@ -150,66 +267,45 @@ def _parse(source: str, leaves: bool) -> Page:
             text = " ".join("".join(parts).split())
             parts.clear()
             if text:
-                holder = next(e for e in reversed(stack) if e.tag in BLOCKS or not e.tag)
+                holder = stack.holder
                 page.blocks.append(Block(holder.key, holder.boilerplate, holder.main, text))
+                page.above.setdefault(holder.key, holder.above)
 
     def close(tags: set[str], scopes: set[str]) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in tags:
-                flush()
-                del stack[k:]
-                return
-            if stack[k].tag in scopes:
-                return
-
-    at, end = 0, len(source)
-    while at < end:
-        m = TAG.search(source, at)
-        if m is None:
-            parts.append(entities.unescape(source[at:]))
-            break
-        if m.start() > at:
-            parts.append(entities.unescape(source[at : m.start()]))
-        at = m.end()
-        if m["name"] is None:
-            continue
-        tag = m["name"].lower()
-        if m["end"]:
-            if tag not in BLOCKS:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == tag:
-                        del stack[k]
-                        break
-                    if stack[k].tag in BLOCKS:
-                        break
+        place = stack.last(tags)
+        if place > 0 and stack.last(scopes - tags) < place:
+            flush()
+            stack.cut(place)
+
+    for kind, tag, rest in tokens(source):
+        if kind == "text":
+            parts.append(entities.unescape(rest))
+        elif kind == "end":
+            if tag in BLOCKS:
+                close({tag}, MAIN if tag in ("p", "div", "li") else set())
             else:
-                close({tag}, {"article", "main"} - {tag} if tag in ("p", "div", "li") else set())
-            continue
-        if tag in RAW:
-            stop = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(source, at)
-            at = stop.end() if stop else end
+                stack.end_inline(tag)
+        elif tag in RAW:
             if tag == "select":
                 parts.append(" ")
-            continue
-        if tag == "br" or tag in VOID:
+        elif tag in VOID:
             parts.append(" ")
-            continue
-        if tag in BLOCKS:
-            flush()
-            if tag in CLOSES_P:
-                close({"p"}, SCOPES | {"div", "section", "td", "li", "blockquote"})
-            if tag in SIBLINGS:
-                close(SIBLINGS[tag], SCOPES - {"tr"})
-            if tag in MAIN:
-                close({"nav"}, MAIN)
-        parent = stack[-1]
-        made = element(tag, m["rest"], parent, leaves)
-        if not made.unseen and (made.main and not parent.main or made.foreign and tag in MAIN and not any(e.main or e.foreign and e.tag in MAIN for e in stack)):
-            page.articles.append(made.foreign)
-        page.children.setdefault(parent.key, []).append(tag)
-        if m["rest"].endswith("/") and tag in BLOCKS:
-            continue
-        stack.append(made)
+        else:
+            if tag in BLOCKS:
+                flush()
+                if tag in CLOSES_P:
+                    close({"p"}, SCOPES | {"div", "section", "td", "li", "blockquote"})
+                if tag in SIBLINGS:
+                    close(SIBLINGS[tag], SCOPES - {"tr"})
+                if tag in MAIN:
+                    close({"nav"}, MAIN)
+            parent = stack.top
+            made = element(tag, rest, parent, leaves)
+            if not made.unseen and (made.main and not parent.main or made.foreign and tag in MAIN and not parent.inside):
+                page.articles.append(made.foreign)
+            page.children[parent.key].append(tag)
+            if not (rest.endswith("/") and tag in BLOCKS):
+                stack.push(made)
     flush()
     return page
 
@@ -219,157 +315,161 @@ def host_of(url: str | None) -> str:
     return m[1].rpartition("@")[2].lower() if m else ""
 
 
-def main_text(page: Page, noisy: frozenset[int] | set[int] = frozenset()) -> str:
-    """A page's main text without boilerplate and, outside a marked article, without noisy branches."""
-    kept = [b for b in page.blocks if not b.boilerplate]
-    inside = [b for b in kept if b.main]
-    if not inside:
-        inside = [b for b in kept if not noisy or not any(k in noisy for k in prefixes(b.key))]
-    return "\n".join(b.text for b in inside)
+def site_of(url: str | None, page: Page) -> str:
+    """The tree that a page belongs to: its host's, for pages that mark an article or for those that do not."""
+    return host_of(url) + (" named" if page.leaves else "") + (" marked" if page.marked else "")
 
 
-def key_number(key: str) -> int:
-    value = xxhash.xxh64_intdigest(key)
-    return value - (1 << 64) if value >= 1 << 63 else value
+def main_text(page: Page, noisy: frozenset[int] | set[int]) -> str:
+    """A page's text without its noisy branches."""
+    return "\n".join(b.text for b in page.blocks if b.key not in noisy)
+
+
+def copy_name(page: Page) -> int:
+    """A name that pages with one article share, and mostly those with nearly the same: the least hash of its 32-byte strings."""
+    marked = page.marked
+    text = "\n".join(b.text for b in page.blocks if b.main and not b.boilerplate or not marked)
+    data = text.encode("utf-8", "surrogatepass")
+    if len(data) < GRAM:
+        return signed_hash(text)
+    held = np.frombuffer(data, dtype=np.uint8)
+    least = min(int(gram_hashes(held[at : at + BUFFER + GRAM - 1]).min()) for at in range(0, len(held) - GRAM + 1, BUFFER))
+    return least - (1 << 64) if least >= 1 << 63 else least
 
 
-def prefixes(key: str) -> list[int]:
-    steps = key.split("/")
-    return [key_number("/".join(steps[: k + 1])) for k in range(1, len(steps))]
+#: Features of a branch on a page: what it holds and how, the layouts of the two branches above it, its content, and whether it is declared furniture.
+FEATURES = ("own", "parent", "grandparent", "content", "furniture")
+
+
+def branch_features(page: Page) -> dict[int, tuple[int, ...]]:
+    """The features of each branch of a page that holds text."""
+    texts: dict[int, list[str]] = defaultdict(list)
+    for block in page.blocks:
+        texts[block.key].append(block.text)
+    furniture, layouts = page.furniture(), {}
+
+    def layout(key: int) -> int:
+        if key not in layouts:
+            layouts[key] = signed_hash(" ".join(page.children.get(key, ())))
+        return layouts[key]
+
+    found = {}
+    for key, held in texts.items():
+        size = sum(map(len, held)).bit_length()
+        above = page.above[key]
+        own = signed_hash(f"{layout(key)} {size}")
+        found[key] = (own, layout(above[0]), layout(above[1]), signed_hash("\n".join(held)), int(key in furniture))
+    return found
 
 
-def site_nodes(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
-    """(host, key, above, style, content, page): the style and content of each branch of each page."""
+def site_nodes(texts: DataFrame) -> DataFrame:
+    """(row, site, key, copy, features): the branches of each page of (row, url, html) that hold text."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
         for part in small_batches(batches, 64):
             rows = []
-            for url, source in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                host, page = host_of(url), parse(source or "")
-                texts: dict[str, list[str]] = {}
-                for block in page.blocks:
-                    texts.setdefault(block.key, []).append(block.text)
-                copy = key_number("\n".join(b.text for b in page.blocks))
-                for key in page.children.keys() | texts.keys():
-                    if key:
-                        style = key_number(" ".join(page.children.get(key, ())))
-                        content = key_number("\n".join(texts[key])) if key in texts else None
-                        rows.append((host, key_number(key), prefixes(key)[:-1], style, content, copy))
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 6
-            kinds = (pa.string(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)],
-                ["host", "key", "above", "style", "content", "page"],
-            )
+            for k, (url, source) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)):
+                page = parse(source or "")
+                site, copy = site_of(url, page), copy_name(page)
+                rows += [(k, site, key, copy, features) for key, features in branch_features(page).items()]
+            place, *columns = (pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 5, kinds, strict=True))
+            yield pa.RecordBatch.from_arrays([part.column(0).take(place), *columns], ["row", "site", "key", "copy", "features"])
 
-    schema = "host string, key long, above array<long>, style long, content long, page long"
-    return map_rows(pages.select(F.col(url_col).cast("string"), F.col(html_col).cast("string")), schema, work)
+    return map_rows(texts.select("row", "url", "html"), f"row {ROW}, site string, key long, copy long, features array<long>", work)
 
 
-def _entropy(rows: DataFrame, feature: str, name: str) -> DataFrame:
-    """Entropy of a feature over a branch's pages, in units of the logarithm of their number (1: all differ)."""
-    counts = rows.groupBy("host", "key", feature).agg(F.count("*").alias("n"))
-    sums = counts.groupBy("host", "key").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("s"))
-    return sums.select("host", "key", F.col("m").alias(f"{name}_m"), F.when(F.col("m") > 1, 1 - F.col("s") / (F.col("m") * F.log("m"))).otherwise(1.0).alias(name))
+def noisy_branches(nodes: DataFrame, *, threshold: float, trust: float, layouts: int) -> DataFrame:
+    """(site, key): the branches of each site's style tree that are of low importance.
 
+    A feature's entropy over a branch's pages is in units of the logarithm of
+    their number (1: all differ), for layouts of ``layouts`` at most.  With few
+    pages it says little: each value counts as if ``trust`` pages more had made
+    it 1.  A branch's importance is its content's entropy, on sites that mark no
+    article less up to half of it where the layout at and above the branch never
+    varies; what pages declare to be furniture has none.
 
-def noisy_branches(
-    ws: Workspace,
-    pages: DataFrame,
-    *,
-    url_col: str,
-    html_col: str,
-    least_pages: int,
-    threshold: float,
-    decay: float,
-) -> DataFrame:
-    """(host, keys): the branches of each host's style tree that are unimportant with all that is below them.
-
-    Only counts are aggregated: neither a host's pages nor its tree is
-    collected, so a host with a third of all pages is like any other.  Copies of
-    a page count once.
+    Only counts are aggregated, first where the rows are: neither a host's pages
+    nor its tree is collected, so a host with a third of all pages is like any
+    other.  Copies of an article count once.
     """
-    nodes = ws.table(site_nodes(pages, url_col, html_col).distinct())
-    style = _entropy(nodes, "style", "presentation")
-    content = _entropy(nodes.where("content IS NOT NULL"), "content", "content")
-    own = style.join(content, ["host", "key"], "left").select(
-        "host",
-        "key",
-        F.col("presentation_m").alias("m"),
-        F.when(F.col("content").isNull(), F.col("presentation"))
-        .otherwise((1 - decay) * F.col("presentation") + decay * F.col("content"))
-        .alias("importance"),
-    )
-    paths = nodes.select("host", "key", "above").distinct()
-    below = own.join(paths, ["host", "key"]).select(
-        "host", "importance", "m", "key", F.explode(F.concat("above", F.array("key"))).alias("branch")
+    once = nodes.groupBy("site", "key", "copy").agg(*(F.min(F.element_at("features", k + 1)).alias(f) for k, f in enumerate(FEATURES)))
+    named = F.explode(F.array(*(F.struct(F.lit(k).alias("f"), F.col(f).alias("v")) for k, f in enumerate(FEATURES))))
+    counts = once.select("site", "key", named.alias("x")).groupBy("site", "key", "x").agg(F.count("*").alias("n"))
+    sums = counts.groupBy("site", "key", F.col("x.f").alias("f")).agg(
+        F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("s"), F.max("x.v").alias("most")
     )
-    worst = below.groupBy("host", "branch").agg(
-        F.max("importance").alias("importance"), F.max(F.when(F.col("key") == F.col("branch"), F.col("m"))).alias("m")
+    m = F.col("m").cast("double")
+    entropy = F.greatest(F.log("m") - F.col("s") / m, F.lit(0.0))
+    unit = F.log(F.when(F.col("f") < 3, F.least(m, F.lit(float(layouts)))).otherwise(m))
+    share = F.when(m > 1, F.least(entropy / unit, F.lit(1.0))).otherwise(1.0)
+    value = sums.select("site", "key", "f", "most", ((trust + m * share) / (trust + m)).alias("value"))
+    branch = value.groupBy("site", "key").agg(
+        F.max(F.when(F.col("f") < 3, F.col("value"))).alias("layout"),
+        F.max(F.when(F.col("f") == 3, F.col("value"))).alias("content"),
+        F.max(F.when(F.col("f") == 4, F.col("most"))).alias("furniture"),
     )
-    noisy = worst.where((F.col("importance") < threshold) & (F.col("m") >= least_pages))
-    return ws.table(noisy.groupBy("host").agg(F.collect_list("branch").alias("keys")))
+    context = F.when(F.col("site").endswith(" marked"), 1.0).otherwise(0.5 + F.col("layout") / 2)
+    return branch.where((F.col("furniture") > 0) | (F.col("content") * context < threshold)).select("site", "key")
 
 
 def extract_main_text(
     pages: DataFrame,
     *,
-    least_pages: int = 8,
     threshold: float = 0.35,
-    decay: float = 0.9,
+    trust: float = 8.0,
+    layouts: int = 64,
     broadcast_bytes: int = 8 << 20,
-    salts: int = 32,
     id_col: str = "page_id",
     url_col: str = "url",
     html_col: str = "html",
 ) -> DataFrame:
     """Extract each page's main text.
 
-    Pages of one host are merged into a site style tree.  A branch's importance
-    is the entropy of its presentation (child tags) and content over the host's
-    pages; branches of low importance, all that is below them included, are
-    removed where a page marks no article.  Elements that HTML, their role or
-    their names declare to be menus, headers, footers, sidebars, notices,
-    adverts, forms or comments are removed on every page, because what they say
-    may differ from page to page.
+    Pages of one host are merged into a site style tree, one for pages that mark
+    an article and one for those that do not.  A branch's importance is the
+    entropy of its content and layout over the host's pages (``noisy_branches``);
+    what HTML, roles or names declare to be menus, headers, footers, sidebars,
+    notices, adverts, forms or comments, and what stands outside a marked
+    article, has none.  Branches of low importance are removed from each page;
+    nothing else is, and no text is kept or removed but by the tree.
 
     Returns ``page_id``, ``url``, ``text`` (one line per block) and ``n_chars``.
     Null or empty html gives an empty text; a url without a host joins the host
-    of no name; null ids and repeated rows are carried as they are; an empty
-    table gives no rows; other columns are ignored.
+    of no name; null ids and repeated rows are carried as they are; pages of any
+    size and depth are read in time in proportion; an empty table gives no rows;
+    other columns are ignored, whatever their names.
     """
-    id_type = pages.schema[id_col].dataType.simpleString()
+    texts = addressed(pages).pick(page_id=id_col, url=url_col, html=html_col)
+    texts = texts.withColumn("url", F.col("url").cast("string")).withColumn("html", F.col("html").cast("string"))
+    schema = f"page_id {texts.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long"
     with Workspace(pages.sparkSession) as ws:
-        noisy = noisy_branches(
-            ws, pages, url_col=url_col, html_col=html_col, least_pages=least_pages, threshold=threshold, decay=decay
-        )
-        size = noisy.agg(F.sum(8 * F.size("keys") + F.octet_length("host") + 64)).first()[0] or 0
-        narrow = pages.select(F.col(id_col), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
+        nodes = ws.table(site_nodes(texts))
+        noisy = ws.table(noisy_branches(nodes, threshold=threshold, trust=trust, layouts=layouts))
+        size = noisy.agg(F.sum(F.octet_length("site") + 16)).first()[0] or 0
         if size <= broadcast_bytes:
-            sites = {r.host: frozenset(r["keys"]) for r in noisy.collect()}
-            return map_rows(narrow, _schema(id_type), _extractor(sites))
-        host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#]*@)?([^/?#]*)", 1)), F.lit(""))
-        dealt = addressed(narrow, "__at").withColumn("__host", host)
-        dealt = dealt.withColumn("__salt", F.pmod(F.xxhash64("__at"), F.lit(salts).cast("long"))).drop("__at")
-        spread = noisy.select(F.col("host").alias("__host"), F.col("keys").alias("__keys"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("__salt"))
-        joined = dealt.join(spread, ["__host", "__salt"], "left").select(*narrow.columns, "__keys")
-        return ws.deliver(map_rows(joined, _schema(id_type), _extractor(None)))
-
-
-def _schema(id_type: str) -> str:
-    return f"page_id {id_type}, url string, text string, n_chars long"
-
-
-def _extractor(sites: dict[str, frozenset[int]] | None):
+            sites: dict[str, set[int]] = defaultdict(set)
+            for r in noisy.collect():
+                sites[r.site].add(r.key)
+            return map_rows(texts.select("page_id", "url", "html"), schema, _extractor(dict(sites)))
+        # Of a tree too large to send to all tasks each page gets its own branches.
+        sizes = ws.table(nodes.groupBy("site", "key").agg(F.count("*").alias("n")).join(noisy, ["site", "key"]))
+        own = join_groups(nodes.select("row", "site", "key"), sizes, ["site", "key"], "n", nodes.count())
+        keys = ws.deliver(own.groupBy("row").agg(F.collect_list("key").alias("noisy")))
+    joined = texts.join(keys.hint("shuffle_hash"), "row", "left").select("page_id", "url", "html", "noisy")
+    return map_rows(joined, schema, _extractor(None))
+
+
+def _extractor(sites: dict[str, set[int]] | None):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none: frozenset[int] = frozenset()
+        none: set[int] = set()
         for part in small_batches(batches, 256):
-            urls = part.column(1).to_pylist()
-            if sites is None:
-                noisy = [frozenset(k or ()) for k in part.column(3).to_pylist()]
-            else:
-                noisy = [sites.get(host_of(u), none) for u in urls]
-            texts = [main_text(parse(h or ""), n) for h, n in zip(part.column(2).to_pylist(), noisy, strict=True)]
+            urls, sources = part.column(1).to_pylist(), part.column(2).to_pylist()
+            own = [None] * len(urls) if sites is not None else part.column(3).to_pylist()
+            texts = []
+            for url, source, noisy in zip(urls, sources, own, strict=True):
+                page = parse(source or "")
+                texts.append(main_text(page, set(noisy or ()) if sites is None else sites.get(site_of(url, page), none)))
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())],
                 ["page_id", "url", "text", "n_chars"],

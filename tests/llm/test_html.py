@@ -1,8 +1,14 @@
+import html as entities
+import math
 import random
+import re
+import time
+from collections import Counter
 
 import pytest
 
 from tarn.llm import html as H
+from tarn.llm import queries
 
 SITE = (
     "<!DOCTYPE html><html><head><title>t</title><style>p{}</style></head><body class='has-sidebar'>"
@@ -12,6 +18,12 @@ SITE = (
 )
 
 
+def text_of(source):
+    """What a host of this one page gives: only what the page declares to be furniture goes."""
+    page = H.parse(source)
+    return H.main_text(page, page.furniture())
+
+
 @pytest.mark.parametrize(
     ("body", "wanted"),
     [
@@ -32,36 +44,117 @@ SITE = (
     ],
 )
 def test_main_text(body, wanted):
-    assert H.main_text(H.parse(SITE.replace("{body}", body))) == wanted
+    assert text_of(SITE.replace("{body}", body)) == wanted
 
 
 @pytest.mark.parametrize("source", ["", "plain &lt;text", "<", "<p", "<!-- open", "<article><p>x", "</p></p>", "<script>"])
 def test_broken_sources_do_not_fail(source):
-    assert isinstance(H.main_text(H.parse(source)), str)
+    assert isinstance(text_of(source), str)
+
+
+@pytest.mark.parametrize(
+    "source",
+    [
+        "<div>" * 100_000 + "deep",
+        "<b>" * 100_000 + "deep" + "</i>" * 100_000 + "</b>" * 100_000,
+        "<div><article>" + "<section>" * 50_000 + "deep" + "</div>" * 50_000,
+        "deep" + "<a" * 500_000,
+        "deep" + "<a x=\"" * 150_000,
+        "deep" + "<a x='\" " * 150_000 + ">",
+        "deep" + "<p>" * 200_000 + "</p></li></td>" * 50_000,
+        "deep" + "<!--" * 250_000,
+        "deep" + "<li><table>" * 50_000 + "</ul>" * 50_000,
+        "deep" + "&" * 500_000 + "<" * 200_000,
+        "deep<i " + "= " * 300_000 + ">",
+    ],
+    ids=range(11),
+)
+def test_odd_pages_take_no_longer_than_their_size(source):
+    began = time.perf_counter()
+    page = H.parse(source)
+    H.branch_features(page)
+    assert "deep" in H.main_text(page, set())
+    assert time.perf_counter() - began < 10
 
 
 def pages():
     rng = random.Random(6)
     rows = []
+    story = lambda n: "".join(f"<p>story {rng.random()} {rng.random()}</p>" for _ in range(n))
     for k in range(40):
-        body = "".join(f"<p>story {rng.random()} {rng.random()}</p>" for _ in range(rng.randrange(1, 6)))
-        rows.append((k, "http://Big.example.com/x", f"<body><div class='top'><p>Same words</p></div><div class='txt'>{body}</div></body>", k))
+        rows.append((k, "http://Big.example.com/x", f"<body><div class='top'><p>Same words</p></div><div class='txt'>{story(rng.randrange(1, 6))}</div></body>", k))
     rows += [(100, "http://big.example.com/y", rows[0][2], 0), (100, "http://big.example.com/y", rows[0][2], 0)]
     rows += [(101, None, "<p>no host</p>", 1), (None, "http://one.example.org", None, 2), (102, "nonsense", "", None)]
+    for k in range(30):  # a notice that stands inside every article, under no name that tells
+        body = f"<article><h1>Title {k}</h1><div class='x7'>Read on in the app</div>{story(2)}</article><div class='q'>{story(1)}</div>"
+        rows.append((200 + k, "https://paper.example.com/a", f"<body><nav>n{k}</nav>{body}<p>Same words</p></body>", 0))
+    for k in range(40):  # copies of one article are no template
+        rows.append((300 + k, "https://copies.example.com/a", f"<body><nav>n{k}</nav><article><h1>One</h1><p>story of a copy that is long enough</p></article></body>", 0))
     return rows
 
 
+def brute_noisy(rows, threshold=0.35, trust=8.0, layouts=64):
+    """The noisy branches by counting over whole lists."""
+    seen = {}
+    for _, url, source, _ in rows:
+        page = H.parse(source or "")
+        for key, features in H.branch_features(page).items():
+            held = seen.setdefault((H.site_of(url, page), key), {}).setdefault(H.copy_name(page), features)
+            seen[H.site_of(url, page), key][H.copy_name(page)] = tuple(map(min, held, features))
+    noisy = {}
+    for (site, key), copies in seen.items():
+        m, values = len(copies), []
+        for f in range(4):
+            counts = Counter(x[f] for x in copies.values()).values()
+            entropy = -sum(n / m * math.log(n / m) for n in counts)
+            share = min(1.0, entropy / math.log(min(m, layouts) if f < 3 else m)) if m > 1 else 1.0
+            values.append((trust + m * share) / (trust + m))
+        context = 1.0 if site.endswith(" marked") else 0.5 + max(values[:3]) / 2
+        if any(x[4] for x in copies.values()) or values[3] * context < threshold:
+            noisy.setdefault(site, set()).add(key)
+    return noisy
+
+
 @pytest.mark.parametrize("limit", [8 << 20, 0])
-def test_style_tree_removes_what_a_host_repeats(spark, limit):
+def test_style_tree_equals_brute_force(spark, limit):
+    rows = pages()
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
+    noisy, expected, untouched = brute_noisy(rows), [], 0
+    for number, url, source, _ in rows:
+        page = H.parse(source or "")
+        text = H.main_text(page, noisy.get(H.site_of(url, page), set()))
+        untouched += text == H.main_text(page, page.furniture())
+        expected.append((str(number), str(url), text, len(text)))
+    found = H.extract_main_text(frame, broadcast_bytes=limit).collect()
+    assert sorted((str(r.page_id), str(r.url), r.text, r.n_chars) for r in found) == sorted(expected)
+    assert untouched == len(rows) - 72  # of 42 pages and 30 articles the tree takes what no name gives away
+
+
+def test_style_tree_removes_what_a_host_repeats(spark):
     frame = spark.createDataFrame(pages(), "page_id long, url string, html string, text int")
-    found = {(r.page_id, r.url): r for r in H.extract_main_text(frame, broadcast_bytes=limit).collect()}
-    assert sum(1 for _ in H.extract_main_text(frame, broadcast_bytes=limit).collect()) == len(pages())
-    for k, url, source, _ in pages():
-        r = found[k, url]
-        assert r.n_chars == len(r.text) and "Same words" not in r.text
-        if source and "story" in source:
-            assert r.text.count("story") == source.count("story")
-    assert found[101, None].text == "no host" and found[None, "http://one.example.org"].text == ""
+    for r in H.extract_main_text(frame).collect():
+        source = next(p[2] for p in pages() if p[0] == r.page_id and p[1] == r.url)
+        assert "Same words" not in r.text and "in the app" not in r.text
+        if source:
+            inside = source.partition("<article>")[2].partition("</article>")[0] or source
+            assert r.text.count("story") == inside.count("story")
+            assert "<h1>" not in source or r.text.startswith(("Title", "One"))
+
+
+def test_query_equals_brute_force(spark):
+    """The registered query on the smallest table: by the tree, and as the article's own text."""
+    sf = "/root/testdata/sf0.001"
+    rows = [(r.page_id, r.url, r.html, 0) for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
+    found = {r.page_id: r.text for r in queries.op5_html_extraction(spark, sf).collect()}
+    noisy, lost = brute_noisy(rows), 0
+    for number, url, source, _ in rows:
+        page = H.parse(source)
+        assert found[number] == H.main_text(page, noisy.get(H.site_of(url, page), set()))
+        inside = re.sub(r"<(script|style)>.*?</\1>", "", source.partition("<article>")[2].partition("</article>")[0])
+        lines = (" ".join(entities.unescape(re.sub(r"</?[a-z][^>]*>", "", x)).split()) for x in re.split(r"</?(?:p|h1)>", inside.replace("<br>", " ")))
+        assert found[number] == "\n".join(filter(None, lines))
+        lost += H.main_text(page, set()) != found[number]
+    assert lost == len(rows)  # without the tree every page keeps what is not its article
 
 
 def test_empty(spark):

@@ -21,4 +21,5 @@ from tarn.llm import html as H
     ],
 )
 def test_main_text(body, wanted):
-    assert H.main_text(H.parse(f"<html><body>{body}</body></html>")) == wanted
+    page = H.parse(f"<html><body>{body}</body></html>")
+    assert H.main_text(page, page.furniture()) == wanted
