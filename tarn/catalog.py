@@ -12,6 +12,7 @@ from typing import Any
 import yaml
 
 from tarn.errors import CatalogError
+from tarn.sources.readers import READERS
 
 API_VERSION = "tarn/v1"
 IDENTIFIER = re.compile(r"[a-z][a-z0-9_]*\Z")
@@ -37,7 +38,8 @@ class Metric(StrEnum):
     INNER_PRODUCT = "inner_product"
 
 
-SOURCE_KINDS = ("parquet", "orc", "csv", "json", "table", "jdbc", "postgres", "neo4j")
+#: Kinds that a catalog may name without there being a reader; those with one are ``readers.READERS``.
+DECLARED_KINDS = ("neo4j",)
 CARDINALITIES = ("one_to_one", "one_to_many", "many_to_one", "many_to_many")
 
 
@@ -236,7 +238,7 @@ def _source(node: Node) -> Source:
     if keys["read_only"].value is not True:
         _wrong(keys["read_only"].where, "must be true")
     datasets = {n: _representation(r) for n, r in keys["datasets"].named().items()}
-    return Source(keys["kind"].one_of(SOURCE_KINDS), keys["connection_ref"].filled(), datasets)
+    return Source(keys["kind"].one_of((*READERS, *DECLARED_KINDS)), keys["connection_ref"].filled(), datasets)
 
 
 def _endpoint(node: Node) -> tuple[str, str]:

@@ -173,7 +173,9 @@ class Engine:
         snapshot = self.runtime.require_active()
         bound = self.bind(query, snapshot)
         plans = {k: self._plan(snapshot, s, bound, None) for k, s in enumerate((bound.root, bound.other)) if s and s.meaning}
-        return explain(snapshot, bound, plans)
+        # Semantic conditions are verified and guards count while a frame is built, so neither is built here.
+        lazy = not plans and (self.guards.scan_rows, self.guards.joined_rows, self.guards.sorted_rows) == (None, None, None)
+        return explain(snapshot, bound, plans, self._build(snapshot, bound, {}, None) if lazy else None)
 
     def _build(self, snapshot: Snapshot, bound: Bound, reports: dict[int, Report], deadline: float | None) -> DataFrame:
         if bound.link is None and bound.root.meaning is None:

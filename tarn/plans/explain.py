@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from dataclasses import dataclass
 
-from tarn.operators.assemble import owners
+from pyspark.sql import DataFrame
+
+from tarn.operators.assemble import late_sources, owners
 from tarn.operators.semantic import SHORTLIST, SemanticPlan
 from tarn.plans.binding import Bound, Side, fields_of
 from tarn.plans.fingerprints import plan_fingerprint, query_fingerprint
@@ -43,8 +47,20 @@ def conjuncts(where) -> list:
     return [where]
 
 
+#: Operators of a physical plan that a note counts.
+COUNTED = re.compile(r"(?<![A-Za-z])(BroadcastHashJoin|SortMergeJoin|ShuffledHashJoin|BroadcastNestedLoopJoin|TakeOrderedAndProject|BroadcastExchange|Exchange|HashAggregate|FileScan|BatchScan)(?=[ (])")
+
+
+def physical_note(frame: DataFrame) -> str:
+    """Which operators Catalyst has chosen before the query runs; names of sources and columns are left out."""
+    found = Counter(COUNTED.findall(frame._jdf.queryExecution().executedPlan().toString()))
+    return "catalyst: " + ", ".join(f"{n} {name}" for name, n in sorted(found.items()))
+
+
 def _side_nodes(snapshot: Snapshot, side: Side, bound: Bound, plan: SemanticPlan | None) -> list[PlanNode]:
     parts = owners(snapshot, side)
+    alone = bound.link is None and side.meaning is None
+    late = late_sources(parts, fields_of(side.where) | {s.field for s in bound.order}) if alone else ()
     owner = {f: s for s, fields in parts.fields.items() for f in fields}
     pushed: dict[str, set[str]] = {s: set() for s in parts.fields}
     rest = False
@@ -63,7 +79,7 @@ def _side_nodes(snapshot: Snapshot, side: Side, bound: Bound, plan: SemanticPlan
             PlanNode("vector_search" if near else "scan", source, fields, tuple(sorted(pushed[source])), limit=plan.size if near else None)
         )
     if parts.contributors:
-        nodes.append(PlanNode("combine", "engine", detail=tuple(f"left {c}" for c in parts.contributors)))
+        nodes.append(PlanNode("combine", "engine", detail=tuple(f"left {c}" + (", on the page only" if c in late else "") for c in parts.contributors)))
     if rest:
         nodes.append(PlanNode("filter", "engine", residual_filter=True))
     if side.meaning:
@@ -71,7 +87,8 @@ def _side_nodes(snapshot: Snapshot, side: Side, bound: Bound, plan: SemanticPlan
     return nodes
 
 
-def explain(snapshot: Snapshot, bound: Bound, plans: dict[int, SemanticPlan]) -> Explanation:
+def explain(snapshot: Snapshot, bound: Bound, plans: dict[int, SemanticPlan], frame: DataFrame | None = None) -> Explanation:
+    """The plan of a bound query; ``frame``, its lazy result, is asked for Catalyst's choices and not run."""
     nodes = _side_nodes(snapshot, bound.root, bound, plans.get(0))
     names = [s.field if s.side == 0 else f"{bound.link.alias}.{s.field}" for s in bound.order]
     fields = list(bound.root.select)
@@ -84,5 +101,6 @@ def explain(snapshot: Snapshot, bound: Bound, plans: dict[int, SemanticPlan]) ->
     nodes.append(PlanNode("project", "engine", tuple(fields)))
     many = len(owners(snapshot, bound.root).fields) > 1
     kind = "join" if bound.link else "combined" if many else "single_source"
+    notes = tuple(r for p in plans.values() for r in p.reasons) + ((physical_note(frame),) if frame is not None else ())
     strategy = ",".join(p.kind for p in plans.values()) or None
-    return Explanation(kind, query_fingerprint(bound), plan_fingerprint(bound, strategy), tuple(nodes), tuple(r for p in plans.values() for r in p.reasons))
+    return Explanation(kind, query_fingerprint(bound), plan_fingerprint(bound, strategy), tuple(nodes), notes)

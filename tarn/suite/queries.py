@@ -13,13 +13,15 @@ from tarn.client import connect
 from tarn.errors import TarnError
 from tarn.operators.nearest import find_binding, nearest
 from tarn.operators.scan import key_lookup, scan
+from tarn.operators.semantic import CostHint, Semantics
 from tarn.plans.capabilities import capabilities
 from tarn.plans.fingerprints import catalog_fingerprint
 from tarn.plans.policy import Guards
 from tarn.plans.terms import Term, register_term
 from tarn.sources.connections import Connections
 from tarn.sources.inspection import inspect_source
-from tarn.suite.tables import DATASETS, catalog, database, documents, proposition_vector
+from tarn.sources.readers import register_reader
+from tarn.suite.tables import DATASETS, FixedEmbedder, KeywordVerifier, catalog, database, documents, proposition_vector
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -466,12 +468,63 @@ for _key, _first in (("semantic_shortlist_all", 2), ("semantic_store_shortlist_a
     )
 
 
+_VECTORS = {
+    "vector": {
+        "id": ("id", "embeddings", "vec_id"),
+        "cluster": ("int", "embeddings", "label"),
+        "body": ("text", "documents", "text"),
+    },
+    **{name: DATASETS[name] for name in ("customer", "order")},
+}
+
+
+def _anchor_shortlist(spark: SparkSession, sf: str) -> DataFrame:
+    """The vectors stand in the record's own identity source; the text comes from a contributor."""
+    semantics = Semantics(KeywordVerifier(), FixedEmbedder(), preference="vector_shortlist")
+    db = connect(build_catalog(*documents(_VECTORS)), {"lake": sf}, spark=spark, semantic=semantics)
+    asked = {"from": {"dataset": "vector"}, "select": ["cluster"], "where": {"all": [f("cluster", "lt", 5), MEANS]}, "page": {"first": 6}}
+    return db.query(asked).dataframe
+
+
+CASES["semantic_anchor_shortlist"] = Case(
+    _anchor_shortlist,
+    "SELECT e.vec_id AS id, e.label AS cluster FROM (SELECT * FROM embeddings WHERE label < 5 "
+    f"ORDER BY {DISTANCES[Metric.COSINE].format(v=VECTOR)}, vec_id LIMIT 60) e JOIN documents d ON d.doc_id = e.vec_id "
+    "WHERE contains(lower(d.text), 'on') ORDER BY id LIMIT 6",
+)
+
+
+@dataclass(frozen=True)
+class _Recall:
+    """A caller's recall model: every shortlist finds the given share."""
+
+    share: float
+
+    def expected(self, k: int, pool: int) -> float:
+        return self.share
+
+
+def _recall_model(spark: SparkSession, sf: str) -> DataFrame:
+    found = []
+    for name, share in (("finds all", 1.0), ("finds none", 0.0)):
+        semantics = Semantics(KeywordVerifier(), FixedEmbedder(), minimum_shortlist=1, oversample=2, recall=_Recall(share))
+        semantics.verifier.cost_hint = CostHint(per_candidate=1.0)
+        db = connect(catalog(), {"lake": sf}, spark=spark, semantic=semantics)
+        one = db.query({"from": {"dataset": "document"}, "where": MEANS, "page": {"first": 5}}).reports[0]
+        found.append((name, one.plan, one.shortlisted))
+    return rows(spark, "model string, plan string, shortlisted long", found)
+
+
+CASES["semantic_recall_model"] = Case(
+    _recall_model,
+    f"WITH near AS (SELECT count(*) AS n FROM documents WHERE doc_id IN ({_NEAR_ALL.format(k=10)})) "
+    "SELECT 'finds all' AS model, 'vector_shortlist' AS plan, n AS shortlisted FROM near UNION ALL "
+    "SELECT 'finds none', CASE WHEN count(*) <= 1000 THEN 'verify_all' ELSE 'vector_shortlist' END, CASE WHEN count(*) > 1000 THEN max(n) END FROM documents, near",
+)
+
+
 def _fallback(spark: SparkSession, sf: str) -> DataFrame:
     """Without an embedding provider a shortlist is not possible, and everything is verified."""
-    from tarn.client import connect
-    from tarn.operators.semantic import Semantics
-    from tarn.suite.tables import KeywordVerifier, catalog
-
     db = connect(catalog(), {"lake": sf}, spark=spark, semantic=Semantics(KeywordVerifier()))
     where = {"all": [f("source", "eq", "src3"), MEANS]}
     found = db.query({"from": {"dataset": "document"}, "select": ["lang"], "where": where, "page": {"first": 500}})
@@ -688,6 +741,21 @@ CASES["capabilities"] = Case(
 )
 
 
+def _source_kind(spark: SparkSession, sf: str) -> DataFrame:
+    """A caller's own kind of source: one table kept as a file a status, read as a whole."""
+    register_reader("statuses", lambda session, resource, address: session.read.parquet(f"{address}/{resource}").where("o_orderstatus <> 'F'"))
+    parts = documents({name: DATASETS[name] for name in ("customer", "order")})
+    parts[1]["sources"]["orders"]["kind"] = "statuses"
+    db = connect(build_catalog(*parts), {"lake": sf}, spark=spark)
+    return db.query(on("order", select=["status"], where=f("total", "gt", 300000), page={"first": 500})).dataframe
+
+
+CASES["source_kind"] = Case(
+    _source_kind,
+    "SELECT o_orderkey AS id, o_orderstatus AS status FROM orders WHERE o_orderstatus <> 'F' AND o_totalprice > 300000 ORDER BY id LIMIT 500",
+)
+
+
 def _custom_term(spark: SparkSession, sf: str) -> DataFrame:
     """A caller's own filter term, registered and used like the built-in ones."""
     register_term(

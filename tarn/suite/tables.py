@@ -68,7 +68,7 @@ DATASETS: dict[str, dict[str, tuple[str, str, str]]] = {
     },
     "page": {"id": ("id", "pages", "page_id"), "url": ("string", "pages", "url"), "html": ("text", "pages", "html")},
 }
-IDENTITIES = {("document", "labels"): "doc_id", ("document", "embeddings"): "vec_id", ("order", "lineitem"): "l_orderkey"}
+IDENTITIES = {("document", "labels"): "doc_id", ("document", "embeddings"): "vec_id", ("order", "lineitem"): "l_orderkey", ("vector", "documents"): "doc_id"}
 INTERNAL = {("page", "html")}
 RELATIONSHIPS = {
     "customer_orders": ("customer.id", "order.customer_id", "one_to_many", ["placed"]),
@@ -98,7 +98,7 @@ def documents(datasets: dict = DATASETS, metric: str = "cosine") -> tuple[dict,
             one["fields"][field] = {"physical_name": column}
             if source != anchor:
                 one["fields"]["id"] = {"physical_name": IDENTITIES[name, source]}
-            if (name, source) == ("document", "embeddings"):
+            if name in ("document", "vector") and source == "embeddings":
                 binding = {"column": "embedding", "model": "test-64", "dimensions": DIMENSIONS, "metric": metric}
                 one["embeddings"] = {"body": binding}
     owner = {(n, f): s for n, fields in datasets.items() for f, (_, s, _) in fields.items()}

@@ -338,6 +338,47 @@ def test_descriptions_hide_internal_fields_and_sources(db):
     assert "physical" not in told and "account" not in told and "parquet" not in told
 
 
+def test_explanations_tell_of_catalyst_and_of_late_sources(db):
+    query = {"from": {"dataset": "customer"}, "select": ["plan", "tier"], "where": {"field": "plan", "op": "eq", "value": "pro"}}
+    found = db.explain(query)
+    combine = next(n for n in found.nodes if n.kind == "combine")
+    assert combine.detail == ("left billing", "left support, on the page only")
+    (note,) = found.notes
+    assert note.startswith("catalyst: ") and "2 BroadcastHashJoin" in note and "3 FileScan" in note
+    assert "crm" not in note and "'pro'" not in note
+
+
+def test_tools_are_registered_as_read_only(db, monkeypatch):
+    """The protocol's package is optional: a stand-in records what it is given."""
+    import sys
+    import types
+
+    from tarn import mcp_server
+
+    given = {}
+
+    class FastMCP:
+        def __init__(self, name):
+            given["name"] = name
+
+        def add_tool(self, tool, annotations):
+            given[tool.__name__] = annotations.readOnlyHint, tool
+
+        def run(self):
+            given["ran"] = True
+
+    fast, kinds = types.ModuleType("mcp.server.fastmcp"), types.ModuleType("mcp.types")
+    fast.FastMCP, kinds.ToolAnnotations = FastMCP, lambda readOnlyHint: types.SimpleNamespace(readOnlyHint=readOnlyHint)
+    for name, module in (("mcp", types.ModuleType("mcp")), ("mcp.server", types.ModuleType("mcp.server")), ("mcp.server.fastmcp", fast), ("mcp.types", kinds)):
+        monkeypatch.setitem(sys.modules, name, module)
+    mcp_server.serve(db)
+    assert given["name"] == "tarn" and given["ran"]
+    for name in ("describe_catalog", "query", "explain"):
+        assert given[name][0] is True
+    answer = given["query"][1]({"from": {"dataset": "customer"}, "select": ["name"], "page": {"first": 1}})
+    assert answer["rows"] == [{"id": "c01", "name": "Ada"}] and "full" in answer["note"]
+
+
 def test_rendering():
     assert jsonable({"a": float("nan"), "b": b"\x00", "c": [1, None]}) == {"a": None, "b": "AA==", "c": [1, None]}
     assert table([{"id": 1, "x": None}]).splitlines()[0].split() == ["id", "x"] and table([]) == "(no rows)"
