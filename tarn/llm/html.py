@@ -379,15 +379,17 @@ def site_nodes(texts: DataFrame) -> DataFrame:
     return map_rows(texts.select("row", "url", "html"), f"row {ROW}, site string, key long, copy long, features array<long>", work)
 
 
-def noisy_branches(nodes: DataFrame, *, threshold: float, trust: float, layouts: int) -> DataFrame:
+def noisy_branches(nodes: DataFrame, *, threshold: float, trust: float, layouts: int, declared: bool) -> DataFrame:
     """(site, key): the branches of each site's style tree that are of low importance.
 
     A feature's entropy over a branch's pages is in units of the logarithm of
     their number (1: all differ), for layouts of ``layouts`` at most.  With few
     pages it says little: each value counts as if ``trust`` pages more had made
-    it 1.  A branch's importance is its content's entropy, on sites that mark no
-    article less up to half of it where the layout at and above the branch never
-    varies; what pages declare to be furniture has none.
+    it 1.  A branch's importance is its content's entropy times that of the
+    layout at or above it, whichever varies most: a slot of a template is filled
+    anew on each page, but its layout stays.  What pages declare counts as
+    evidence of layout: all of it for a marked article, none for furniture; with
+    ``declared`` false entropy alone decides.
 
     Only counts are aggregated, first where the rows are: neither a host's pages
     nor its tree is collected, so a host with a third of all pages is like any
@@ -409,16 +411,19 @@ def noisy_branches(nodes: DataFrame, *, threshold: float, trust: float, layouts:
         F.max(F.when(F.col("f") == 3, F.col("value"))).alias("content"),
         F.max(F.when(F.col("f") == 4, F.col("most"))).alias("furniture"),
     )
-    context = F.when(F.col("site").endswith(" marked"), 1.0).otherwise(0.5 + F.col("layout") / 2)
-    return branch.where((F.col("furniture") > 0) | (F.col("content") * context < threshold)).select("site", "key")
+    layout = F.col("layout")
+    if declared:
+        layout = F.when(F.col("furniture") > 0, 0.0).when(F.col("site").endswith(" marked"), 1.0).otherwise(layout)
+    return branch.where(F.col("content") * layout < threshold).select("site", "key")
 
 
 def extract_main_text(
     pages: DataFrame,
     *,
-    threshold: float = 0.35,
+    threshold: float = 0.4,
     trust: float = 8.0,
     layouts: int = 64,
+    declared: bool = True,
     broadcast_bytes: int = 8 << 20,
     id_col: str = "page_id",
     url_col: str = "url",
@@ -432,7 +437,9 @@ def extract_main_text(
     what HTML, roles or names declare to be menus, headers, footers, sidebars,
     notices, adverts, forms or comments, and what stands outside a marked
     article, has none.  Branches of low importance are removed from each page;
-    nothing else is, and no text is kept or removed but by the tree.
+    nothing else is, and no text is kept or removed but by the tree.  With
+    ``declared`` false names and marks are not looked at, which takes hosts with
+    many pages.
 
     Returns ``page_id``, ``url``, ``text`` (one line per block) and ``n_chars``.
     Null or empty html gives an empty text; a url without a host joins the host
@@ -445,7 +452,7 @@ def extract_main_text(
     schema = f"page_id {texts.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long"
     with Workspace(pages.sparkSession) as ws:
         nodes = ws.table(site_nodes(texts))
-        noisy = ws.table(noisy_branches(nodes, threshold=threshold, trust=trust, layouts=layouts))
+        noisy = ws.table(noisy_branches(nodes, threshold=threshold, trust=trust, layouts=layouts, declared=declared))
         size = noisy.agg(F.sum(F.octet_length("site") + 16)).first()[0] or 0
         if size <= broadcast_bytes:
             sites: dict[str, set[int]] = defaultdict(set)
