@@ -351,24 +351,6 @@ follow(
 
 
 def _null_keys(spark: SparkSession, sf: str) -> DataFrame:
-    from tarn.operators.relate import relate
-    from tarn.plans.binding import Link
-
-    docs = database(spark, sf)._runtime.require_active()
-    left = scan(docs, "documents", "document", ("id",)).join(scan(docs, "labels", "document", ("id", "toxic")), "id", "left")
-    right = scan(docs, "documents", "document", ("id",)).join(scan(docs, "labels", "document", ("id", "quality")), "id", "left").where("id < 40")
-    joined = relate(left.where("id < 40"), right, Link("x", "x", "toxic", "quality", True))
-    return joined.select(F.col("l_id").alias("id"), F.col("r_id").alias("other_id"))
-
-
-CASES["join_null_keys"] = Case(
-    _null_keys,
-    "WITH t AS (SELECT d.doc_id, l.toxic, l.quality FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE d.doc_id < 40) "
-    "SELECT a.doc_id AS id, b.doc_id AS other_id FROM t a LEFT JOIN t b ON a.toxic = b.quality",
-)
-
-
-def _null_keys_whole(spark: SparkSession, sf: str) -> DataFrame:
     """Null keys over whole tables: every document against one row for each quality, that of none among them."""
     from tarn.operators.relate import relate
     from tarn.plans.binding import Link
@@ -381,8 +363,8 @@ def _null_keys_whole(spark: SparkSession, sf: str) -> DataFrame:
     return joined.select(F.col("l_id").alias("id"), F.col("r_id").alias("other_id"))
 
 
-CASES["join_null_keys_whole"] = Case(
-    _null_keys_whole,
+CASES["join_null_keys"] = Case(
+    _null_keys,
     "WITH t AS (SELECT d.doc_id, l.toxic, l.quality FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id) "
     "SELECT a.doc_id AS id, b.id AS other_id FROM t a LEFT JOIN (SELECT quality, min(doc_id) AS id FROM t GROUP BY quality) b ON a.toxic = b.quality",
 )
