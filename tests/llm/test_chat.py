@@ -84,3 +84,17 @@ def test_reply_trees(spark):
 def test_empty(spark):
     frame = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.format_conversations(chat.linear_tree(frame)).count() == 0
+
+
+def test_long_texts_round_trip():
+    turns = [("user", "x" * 3_000_000), ("assistant", "</s>[INST] \\ é🙂" * 150_000), ("tool" * 1000, "\n" * 100_000)]
+    formatted, spans = chat.format_turns(turns, ("assistant",))
+    assert chat.read_turns(formatted) == turns
+    assert [chat.unescape(formatted[a:b]) for a, b in spans] == [turns[1][1]]
+
+
+def test_columns_that_clash(spark):
+    schema = "conv_id long, turn long, role string, text string, TEXT string, n int, node string, path string"
+    frame = spark.createDataFrame([(1, 0, "user", "a", "no", 5, "p", "q"), (1, 1, "assistant", "b", "no", 5, "p", "q")], schema)
+    (found,) = chat.format_conversations(chat.linear_tree(frame)).collect()
+    assert chat.read_turns(found.formatted) == [("user", "a"), ("assistant", "b")]

@@ -120,3 +120,23 @@ def test_copies_of_an_item_are_one(spark):
     items = spark.createDataFrame([(1, "a b c")] * 500 + [(2, "d")], "item_id long, text string")
     blocks = list(D.benchmark_blocks(items, "item_id", "text", 12))
     assert sorted(i for b in blocks for i in b) == [("1", b"a b c"), ("2", b"d")]
+
+
+def test_very_long_text():
+    rng = random.Random(3)
+    passage = [f"p{k}" for k in range(20)]
+    words = [f"w{rng.randrange(5000)}" for _ in range(400_000)]
+    words[123_456:123_456] = passage
+    phrases = D.Phrases([("7", " ".join(passage).encode()), ("8", b"w1 " * 30)], 13)
+    ((count, spans, items),) = phrases.hits([" ".join(words).encode()])
+    assert (count, spans, items) == (400_020, [(123_456, 123_476)], ["7"])
+
+
+def test_columns_that_clash(spark, tables):
+    docs, items = tables
+    schema = "doc_id long, text string, TEXT string, row string, items string, c1 int"
+    frame = spark.createDataFrame([(*d, "no", "r", "i", 3) for d in docs], schema)
+    kept = D.drop_contaminated(frame, spark.createDataFrame(items, "item_id long, text string"), block_bytes=200)
+    assert kept.columns == frame.columns
+    clean = [d for d, n, h, _ in brute(docs, items) if h == 0 or 20 * h < n]
+    assert sorted(map(str, clean)) == sorted(str(r[0]) for r in kept.collect())

@@ -176,3 +176,12 @@ def test_spanning_links_blocks():
     members = np.array([centre ^ np.uint64((1 << a) | (1 << b)) for a in range(64) for b in range(a)])
     ends, roots = simhash.spanning_links(members, 4)
     assert len(ends) == len(set(members.tolist())) - 1 and len(set(roots.tolist())) == 1
+
+
+def test_columns_that_clash(spark, rows):
+    schema = "doc_id long, text string, TEXT string, row string, recipe int, __row int, fp string"
+    frame = spark.createDataFrame([(d, t, "no", "r", 1, 2, "f") for d, t, *_ in rows], schema)
+    for drop in (exact_dedup.drop_exact_copies, simhash.drop_near_copies):
+        kept = drop(frame)
+        assert kept.columns == frame.columns and 0 < kept.count() < frame.count()
+    assert sorted(map(lower, [r[1] for r in exact_dedup.drop_exact_copies(frame).collect()])) == sorted({lower(t) for _, t, *_ in rows})
