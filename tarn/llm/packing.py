@@ -188,9 +188,10 @@ def pack_documents(
 
     Each document is its token ids followed by ``end_id``.  Overlong documents
     are first cut into full windows, which are written at once; what remains of
-    each document is packed by best-fit decreasing among up to ``shard_pieces``
-    remainders of the same partition, so a task holds a bounded number of ids
-    and no row is shuffled.
+    each document is packed by best-fit decreasing among the remainders of the
+    same partition, up to ``shard_pieces`` at a time, so a task holds a bounded
+    number of ids and no row is shuffled.  Of a full lot only well-filled windows
+    are closed; the pieces of the others are packed again with the next lot.
 
     Returns one row per piece: ``doc_id``, ``start`` (ids of its document before
     it), ``length``, ``ids`` (binary: unsigned little-endian 32-bit ids),
@@ -212,15 +213,25 @@ def pack_documents(
             names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
-        def packed() -> list[tuple]:
-            nonlocal used
-            places = best_fit_decreasing([len(w[2]) // 4 for w in waiting], window)
+        def packed(last: bool) -> list[tuple]:
+            """Pieces of the windows that are done: all at last, before it the well-filled ones (all if too few are)."""
+            nonlocal used, waiting
+            lengths = [len(w[2]) // 4 for w in waiting]
+            places = best_fit_decreasing(lengths, window)
+            filled = np.zeros(1 + max((name for name, _ in places), default=-1), dtype=np.int64)
+            for (name, _), length in zip(places, lengths, strict=True):
+                filled[name] += length
+            done = np.ones(len(filled), dtype=bool) if last else filled * 64 >= 63 * window
+            if 2 * sum(not done[name] for name, _ in places) > len(places):
+                done[:] = True
+            number = first + used + np.cumsum(done) - 1
             rows = [
-                (doc, start, len(ids) // 4, ids, total, first + used + name, offset)
+                (doc, start, len(ids) // 4, ids, total, int(number[name]), offset)
                 for (doc, start, ids, total), (name, offset) in zip(waiting, places, strict=True)
+                if done[name]
             ]
-            used += 1 + max((name for name, _ in places), default=-1)
-            waiting.clear()
+            used += int(done.sum())
+            waiting = [piece for piece, (name, _) in zip(waiting, places, strict=True) if not done[name]]
             return rows
 
         for part in small_batches(batches):
@@ -239,10 +250,10 @@ def pack_documents(
                 if full < total:
                     waiting.append((doc, full, ids[full:].tobytes(), total))
                     if len(waiting) >= shard_pieces:
-                        rows = packed()
+                        rows = packed(False)
                         for at in range(0, len(rows), 2048):
                             yield batch(rows[at : at + 2048])
-        rows = ready + packed()
+        rows = ready + packed(True)
         for at in range(0, len(rows), 2048):
             yield batch(rows[at : at + 2048])
 

@@ -118,3 +118,11 @@ def test_query_equals_the_tokenizer(spark, plain, tmp_path):
             assert offset == at
             at += length
         assert at <= 1024
+
+
+def test_small_lots_pack_nearly_as_well_as_one(spark):
+    rng = random.Random(2)
+    rows = [(k, " ".join(["word"] * rng.randrange(1, 240))) for k in range(3000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    used = [packing.pack_documents(frame, PATH, window=256, shard_pieces=n).select("sequence_id").distinct().count() for n in (100000, 400)]
+    assert used[1] <= 1.02 * used[0]
