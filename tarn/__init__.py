@@ -9,6 +9,7 @@ _HOMES = {
     "tarn.errors": ("ErrorCode", "ErrorDetail", "TarnError"),
     "tarn.operators.semantic": ("Candidate", "CostHint", "PowerRecall", "Semantics", "Usage", "Verdict"),
     "tarn.plans.policy": ("Guards", "Limits"),
+    "tarn.plans.statistics": ("FieldFigures", "MeasuredStatistics", "Statistics"),
     "tarn.plans.terms": ("Term", "register_term"),
     "tarn.sources.readers": ("register_reader",),
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import threading
 import time
 import uuid
@@ -38,6 +39,7 @@ from tarn.plans.explain import Explanation, explain
 from tarn.plans.fingerprints import catalog_fingerprint, query_fingerprint
 from tarn.plans.policy import Guards, Limits
 from tarn.plans.request import read_request
+from tarn.plans.statistics import Statistics, expected_records
 from tarn.runtime import CatalogRuntime, Snapshot
 from tarn.sources.inspection import check_identity
 from tarn.sources.readers import database_error
@@ -130,9 +132,10 @@ class Engine:
         semantics: Semantics | None = None,
         limits: Limits = Limits(),
         guards: Guards = Guards(),
+        statistics: Statistics | None = None,
     ):
         self.spark, self.runtime = spark, runtime
-        self.semantics, self.limits, self.guards = semantics, limits, guards
+        self.semantics, self.limits, self.guards, self.statistics = semantics, limits, guards, statistics
 
     def bind(self, query: Any, snapshot: Snapshot) -> Bound:
         bound = Binder(snapshot.catalog, self.limits).bind(read_request(query, self.limits))
@@ -175,7 +178,9 @@ class Engine:
         plans = {k: self._plan(snapshot, s, bound, None) for k, s in enumerate((bound.root, bound.other)) if s and s.meaning}
         # Semantic conditions are verified and guards count while a frame is built, so neither is built here.
         lazy = not plans and (self.guards.scan_rows, self.guards.joined_rows, self.guards.sorted_rows) == (None, None, None)
-        return explain(snapshot, bound, plans, self._build(snapshot, bound, {}, None) if lazy else None)
+        sides = [s for s in (bound.root, bound.other) if s]
+        expected = {s.dataset: n for s in sides if (n := self._expected(snapshot, s)) is not None}
+        return explain(snapshot, bound, plans, self._build(snapshot, bound, {}, None) if lazy else None, expected)
 
     def _build(self, snapshot: Snapshot, bound: Bound, reports: dict[int, Report], deadline: float | None) -> DataFrame:
         if bound.link is None and bound.root.meaning is None:
@@ -233,9 +238,16 @@ class Engine:
         binding = find_binding(snapshot.catalog, side.dataset, side.meaning.field)
         if self.semantics.preference == VERIFY_ALL or binding is None or self.semantics.embedder is None:
             base = None
-        pool = None if base is None or self.semantics.preference != "auto" else base.count()
+        pool = None
+        if base is not None and self.semantics.preference == "auto":
+            pool = self._expected(snapshot, side)
+            pool = base.count() if pool is None else math.ceil(pool)
         return choose_plan(self.semantics, snapshot.catalog, side, binding, bound.limit, pool, bound.constraints)
 
+    def _expected(self, snapshot: Snapshot, side: Side) -> float | None:
+        """How many records a side is expected to have; None without statistics, or if they do not tell."""
+        return None if self.statistics is None else expected_records(self.statistics, snapshot, side)
+
     def _shortlist(self, snapshot: Snapshot, side: Side, plan: SemanticPlan) -> DataFrame:
         """The nearest candidates under the side's other filters, with their fields."""
         vector = embed_proposition(self.semantics, side.meaning.proposition)

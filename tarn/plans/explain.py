@@ -87,8 +87,13 @@ def _side_nodes(snapshot: Snapshot, side: Side, bound: Bound, plan: SemanticPlan
     return nodes
 
 
-def explain(snapshot: Snapshot, bound: Bound, plans: dict[int, SemanticPlan], frame: DataFrame | None = None) -> Explanation:
-    """The plan of a bound query; ``frame``, its lazy result, is asked for Catalyst's choices and not run."""
+def explain(
+    snapshot: Snapshot, bound: Bound, plans: dict[int, SemanticPlan], frame: DataFrame | None = None, expected: dict[str, float] | None = None
+) -> Explanation:
+    """The plan of a bound query; ``frame``, its lazy result, is asked for Catalyst's choices and not run.
+
+    ``expected`` has the records that statistics let expect of a dataset, after its filter.
+    """
     nodes = _side_nodes(snapshot, bound.root, bound, plans.get(0))
     names = [s.field if s.side == 0 else f"{bound.link.alias}.{s.field}" for s in bound.order]
     fields = list(bound.root.select)
@@ -102,5 +107,6 @@ def explain(snapshot: Snapshot, bound: Bound, plans: dict[int, SemanticPlan], fr
     many = len(owners(snapshot, bound.root).fields) > 1
     kind = "join" if bound.link else "combined" if many else "single_source"
     notes = tuple(r for p in plans.values() for r in p.reasons) + ((physical_note(frame),) if frame is not None else ())
+    notes += tuple(f"expected records of {name}: {round(n)}" for name, n in (expected or {}).items())
     strategy = ",".join(p.kind for p in plans.values()) or None
     return Explanation(kind, query_fingerprint(bound), plan_fingerprint(bound, strategy), tuple(nodes), notes)

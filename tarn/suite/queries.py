@@ -723,6 +723,41 @@ CASES["capabilities"] = Case(
 )
 
 
+class _CountsOnly:
+    """A provider that knows row counts, and fails for one source."""
+
+    def rows(self, source: str, dataset: str) -> float | None:
+        if source == "labels":
+            raise OSError("no statistics")
+        return 4000.0
+
+    def field(self, source: str, dataset: str, name: str):
+        return None
+
+
+def _statistics(spark: SparkSession, sf: str) -> DataFrame:
+    """Expected records by measured figures and by a caller's provider, as explanations tell them."""
+    asked = {
+        "all": on("order"),
+        "status": on("order", where=f("status", "eq", "O")),
+        "total": on("order", where={"not": f("total", "is_null")}),
+    }
+    found = []
+    for provider, statistics in (("measured", "measured"), ("own", _CountsOnly())):
+        db = connect(catalog(), {"lake": sf}, spark=spark, statistics=statistics)
+        for name, query in asked.items():
+            found.append((provider, name, int(db.explain(query).notes[-1].rpartition(" ")[2])))
+    return rows(spark, "provider string, name string, expected long", found)
+
+
+CASES["statistics"] = Case(
+    _statistics,
+    "WITH o AS (SELECT count(*) AS n, count(DISTINCT o_orderstatus) AS d FROM orders) "
+    "SELECT 'measured' AS provider, 'all' AS name, n AS expected FROM o UNION ALL SELECT 'measured', 'status', CAST(round(n / d) AS BIGINT) FROM o "
+    "UNION ALL SELECT 'measured', 'total', n FROM o UNION ALL SELECT 'own', 'all', 4000 UNION ALL SELECT 'own', 'status', 200 UNION ALL SELECT 'own', 'total', 3920",
+)
+
+
 def _source_kind(spark: SparkSession, sf: str) -> DataFrame:
     """A caller's own kind of source: one table kept as a file a status, read as a whole."""
     register_reader("statuses", lambda session, resource, address: session.read.parquet(f"{address}/{resource}").where("o_orderstatus <> 'F'"))
