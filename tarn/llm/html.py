@@ -7,6 +7,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +52,9 @@ LAYOUT_WORDS = {"has", "layout", "no", "with", "without"}
 HEADER_WORDS = {"global", "header", "main", "page", "site", "top"}
 MAIN = {"article", "main"}
 
+P, NAV, NONE = {"p"}, {"nav"}, set()
+P_SCOPES = SCOPES | {"div", "section", "td", "li", "blockquote"}
+
 NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 #: What ends a tag or opens a quoted value in it.
 STOP = re.compile(r">|=\s*([\"'])")
@@ -170,37 +174,62 @@ def signed_hash(text: str) -> int:
     return value - (1 << 64) if value >= 1 << 63 else value
 
 
-def element(tag: str, rest: str, parent: Element, leaves: bool) -> Element:
-    """A new element; with ``leaves`` an article is one whatever the elements around it are named."""
+@dataclass(frozen=True, slots=True)
+class Names:
+    """What an element's attributes say of it, whatever stands around it."""
+
+    sign: str = ""
+    role: str = ""
+    hidden: bool = False
+    foreign: bool = False
+    furniture: bool = False
+    header: bool = False
+
+
+PLAIN = Names()
+
+
+def names_of(rest: str) -> Names:
     if not rest.strip(" /"):
-        names, hidden, role = "", False, ""
-    else:
-        found = attributes(rest)
-        hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
-        role = found.get("role", "").lower()
-        names = " ".join(filter(None, (found.get("class"), found.get("id"))))
+        return PLAIN
+    return _short_names(rest) if len(rest) < 500 else _names(rest)
+
+
+def _names(rest: str) -> Names:
+    found = attributes(rest)
+    hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
+    role = found.get("role", "").lower()
+    names = " ".join(filter(None, (found.get("class"), found.get("id"))))
     words = set(WORDS.findall(f"{CAMEL.sub(' ', names)} {names}".lower())) if names else set()
-    furniture = bool(words & FURNITURE_WORDS) and not words & LAYOUT_WORDS
+    sign = "".join(f".{w}" for w in sorted(words)) + (f"@{role}" if role else "") + ("~" if hidden else "")
+    layout = bool(words & LAYOUT_WORDS)
     header = "header" in words and words <= HEADER_WORDS
-    article = tag in MAIN or role == "main"
-    outermost = article and not parent.main
-    unseen = parent.unseen or hidden or tag in FOREIGN_TAGS
+    return Names(sign, role, hidden, bool(words & FOREIGN_WORDS) and not layout, bool(words & FURNITURE_WORDS) and not layout, header)
+
+
+_short_names = lru_cache(maxsize=1 << 12)(_names)
+
+
+def element(tag: str, rest: str, parent: Element, leaves: bool) -> Element:
+    """A new element; with ``leaves`` an article is one whatever the elements around it are named."""
+    names = names_of(rest) if rest else PLAIN
+    outermost = not parent.main and (tag in MAIN or names.role == "main")
+    unseen = parent.unseen or names.hidden or tag in FOREIGN_TAGS
     foreign = unseen or (parent.foreign and not (leaves and outermost))
     if tag in ("html", "body", "main"):
         noise = False
     else:
-        foreign = foreign or (bool(words & FOREIGN_WORDS) and not words & LAYOUT_WORDS and not outermost)
+        foreign = foreign or (names.foreign and not outermost)
         noise = (
-            tag in BOILERPLATE_TAGS
-            or role in BOILERPLATE_ROLES
-            or furniture
-            or ((tag == "header" or header) and not parent.main)
+            names.furniture
+            or tag in BOILERPLATE_TAGS
+            or names.role in BOILERPLATE_ROLES
+            or ((tag == "header" or names.header) and not parent.main)
         )
     starts = outermost and not foreign
     boilerplate = foreign or ((parent.boilerplate or noise) and not starts)
     main = parent.main or starts
-    sign = tag + "".join(f".{w}" for w in sorted(words)) + (f"@{role}" if role else "") + ("~" if hidden else "")
-    key = signed_hash(f"{parent.key:x}/{sign}")
+    key = signed_hash(f"{parent.key:x}/{tag}{names.sign}")
     inside = parent.inside or main or (foreign and tag in MAIN)
     return Element(tag, key, (parent.key, parent.above[0]), boilerplate, main, foreign, unseen, inside)
 
@@ -230,7 +259,11 @@ class Stack:
 
     def last(self, tags: set[str]) -> int:
         """The place of the innermost open element with one of the tags; -1 if there is none."""
-        return max((p[-1] for t in tags if (p := self.places.get(t))), default=-1)
+        best = -1
+        for tag in tags:
+            if (places := self.places.get(tag)) and places[-1] > best:
+                best = places[-1]
+        return best
 
     def cut(self, place: int) -> None:
         """Close the element at a place and all inside it."""
@@ -273,7 +306,7 @@ def _parse(source: str, leaves: bool) -> Page:
 
     def close(tags: set[str], scopes: set[str]) -> None:
         place = stack.last(tags)
-        if place > 0 and stack.last(scopes - tags) < place:
+        if place > 0 and stack.last(scopes) < place:
             flush()
             stack.cut(place)
 
@@ -282,7 +315,7 @@ def _parse(source: str, leaves: bool) -> Page:
             parts.append(entities.unescape(rest))
         elif kind == "end":
             if tag in BLOCKS:
-                close({tag}, MAIN if tag in ("p", "div", "li") else set())
+                close({tag}, MAIN if tag in ("p", "div", "li") else NONE)
             else:
                 stack.end_inline(tag)
         elif tag in RAW:
@@ -294,11 +327,11 @@ def _parse(source: str, leaves: bool) -> Page:
             if tag in BLOCKS:
                 flush()
                 if tag in CLOSES_P:
-                    close({"p"}, SCOPES | {"div", "section", "td", "li", "blockquote"})
+                    close(P, P_SCOPES)
                 if tag in SIBLINGS:
-                    close(SIBLINGS[tag], SCOPES - {"tr"})
+                    close(SIBLINGS[tag], SCOPES)
                 if tag in MAIN:
-                    close({"nav"}, MAIN)
+                    close(NAV, MAIN)
             parent = stack.top
             made = element(tag, rest, parent, leaves)
             if not made.unseen and (made.main and not parent.main or made.foreign and tag in MAIN and not parent.inside):
