@@ -13,6 +13,7 @@ from datetime import UTC, datetime
 from functools import cached_property
 from typing import Any
 
+import pyarrow as pa
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
@@ -232,6 +233,9 @@ class Engine:
             bound.limit if alone else None, bound.constraints, deadline,
         )
         ids = list(reports[place].records)
+        if len(ids) > self.limits.maximum_list:
+            found = self.spark.createDataFrame(pa.table({"id": ids})).select(F.col("id").cast(base.schema["id"].dataType))
+            return base.join(found, "id", "left_semi")
         return base.where(F.col("id").isin(ids)) if ids else base.where(F.lit(False))
 
     def _plan(self, snapshot: Snapshot, side: Side, bound: Bound, base: DataFrame | None) -> SemanticPlan:

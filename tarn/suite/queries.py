@@ -380,7 +380,7 @@ def _case_db(spark: SparkSession, sf: str, semantic: str | None = None):
     ends = {"from": {"source": "labels", "field": "document_id"}, "to": {"source": "documents", "field": "id"}}
     about = {"from": "case", "to": "document", "description": "what a label is about", "cardinality": "one_to_one"}
     parts[2]["relationships"]["case_document"] = about | {"direction": "bi", "implementations": [ends]}
-    providers = Semantics(KeywordVerifier(), preference=semantic) if semantic else None
+    providers = Semantics(KeywordVerifier(), preference=semantic, maximum_candidates=None) if semantic else None
     return connect(build_catalog(*parts), {"lake": sf}, spark=spark, semantic=providers)
 
 
