@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 
 from tarn.catalog import API_VERSION, Catalog, build_catalog
 from tarn.client import Database, connect
-from tarn.operators.semantic import Candidate, Semantics, Usage, Verdict
+from tarn.operators.semantic import VERIFY_ALL, Candidate, Semantics, Usage, Verdict
 from tarn.plans.policy import Guards
 
 #: dataset: {field: (type, source, column)}; the id's source is the identity source.
@@ -149,9 +149,15 @@ _open: dict[tuple, Database] = {}
 
 
 def database(spark: SparkSession, sf_dir: str, semantic: str | None = None, guards: Guards = Guards(), metric: str = "cosine") -> Database:
-    """The open catalog over one folder of tables; inspected once for each session and folder, ids at first use."""
+    """The open catalog over one folder of tables; inspected once for each session and folder, ids at first use.
+
+    Where everything is to be verified, that is as many candidates as there are.
+    """
     key = (spark.sparkContext.applicationId, sf_dir, semantic, guards, metric)
     if key not in _open:
-        providers = Semantics(KeywordVerifier(), FixedEmbedder(), preference=semantic) if semantic else None
+        providers = None
+        if semantic:
+            most = None if semantic == VERIFY_ALL else Semantics.maximum_candidates
+            providers = Semantics(KeywordVerifier(), FixedEmbedder(), preference=semantic, maximum_candidates=most)
         _open[key] = connect(catalog(metric), {"lake": sf_dir}, spark=spark, semantic=providers, guards=guards)
     return _open[key]
