@@ -507,7 +507,7 @@ CASES["semantic_recall_model"] = Case(
 
 def _fallback(spark: SparkSession, sf: str) -> DataFrame:
     """Without an embedding provider a shortlist is not possible, and everything is verified."""
-    db = connect(catalog(), {"lake": sf}, spark=spark, semantic=Semantics(KeywordVerifier()))
+    db = connect(catalog(), {"lake": sf}, spark=spark, semantic=Semantics(KeywordVerifier(), maximum_candidates=None))
     where = {"all": [f("source", "eq", "src3"), MEANS]}
     found = db.query({"from": {"dataset": "document"}, "select": ["lang"], "where": where, "page": {"first": 500}})
     return found.dataframe.withColumn("plan", F.lit(found.reports[0].plan)).withColumn("exact", F.lit(found.exact))
