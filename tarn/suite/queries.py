@@ -519,8 +519,10 @@ CASES["semantic_fallback"] = Case(
 
 
 def _report(spark: SparkSession, sf: str) -> DataFrame:
+    """What a condition says of all its candidates, not only of those that fill the page."""
     where = {"all": [f("source", "eq", "src3"), MEANS]}
-    found = database(spark, sf, semantic="verify_all").query({"from": {"dataset": "document"}, "where": where, "page": {"first": 500}})
+    semantics = Semantics(KeywordVerifier(), preference="verify_all", maximum_candidates=None, stop_at_page=False)
+    found = connect(catalog(), {"lake": sf}, spark=spark, semantic=semantics).query({"from": {"dataset": "document"}, "where": where, "page": {"first": 500}})
     one = found.reports[0]
     return rows(
         spark,

@@ -25,7 +25,7 @@ def many(tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("key", ["join_semantic_side", "semantic_min_quality", "semantic_term", "semantic_verify_with_filter", "semantic_verify_all", "semantic_fallback"])
+@pytest.mark.parametrize("key", ["join_semantic_side", "semantic_min_quality", "semantic_term", "semantic_verify_with_filter", "semantic_verify_all", "semantic_fallback", "semantic_report"])
 def test_every_candidate_counts(spark, many, key):
     con = connection(many)
     assert con.execute("SELECT count(*) FROM documents WHERE source = 'src3'").fetchone()[0] >= 1500
