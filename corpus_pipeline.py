@@ -27,7 +27,11 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, a similarity of 0.8 or more."""
+    """One document of each group of near copies: five-word shingles, a similarity of 0.8 or more.
+
+    SimHash fingerprints are linked through covering masks; prefixes add what
+    lies beyond their radius, and the shingle sets decide.
+    """
     from tarn.llm.similar import drop_near
 
     return drop_near(docs)

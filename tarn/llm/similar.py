@@ -1,4 +1,4 @@
-"""Near copies by shingle similarity: candidates through prefixes of shingle sets, SimHash sketches, and the sets."""
+"""Near copies: SimHash fingerprints linked through covering masks, prefixes for what lies beyond, and the shingle sets."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tarn.llm.common import ROW, Rows, Workspace, addressed, join_groups, map_rows, small_batches, texts_as_bytes
 from tarn.llm.components import connected_components
-from tarn.llm.simhash import component_least, shingle_hashes, signed
+from tarn.llm.simhash import component_least, near_links, shingle_hashes, signed
 
 #: 64-bit words of a set's SimHash sketch.
 SKETCH = 8
@@ -52,12 +52,16 @@ def similar(apart: np.ndarray, a: np.ndarray, b: np.ndarray, least: float) -> np
     return shared >= least * (a + b - shared) - 1e-9
 
 
-def linked(sketches: np.ndarray, sizes: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """(member, first member) positions: the components of 'similar', one link a member at most."""
+def linked(sketches: np.ndarray, sizes: np.ndarray, known: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(member, first member) positions: links that make the components of 'similar' of those of equal ``known``.
+
+    Members of equal ``known`` count as linked already and are not compared with each other.
+    """
     left = np.arange(len(sizes))
     ends, roots = [], []
     while len(left):
-        root, reached, left = left[0], left[:1], left[1:]
+        root, same = left[0], known[left] == known[left[0]]
+        reached, left = left[same], left[~same]
         while len(reached) and len(left):
             near = np.zeros(len(left), dtype=bool)
             for at in range(0, len(reached), 32):
@@ -65,29 +69,43 @@ def linked(sketches: np.ndarray, sizes: np.ndarray, least: float) -> tuple[np.nd
                 some = reached[at : at + 32]
                 apart = np.bitwise_count(sketches[some][:, None, :] ^ sketches[left[rest]][None, :, :]).sum(axis=2, dtype=np.int64)
                 near[rest[similar(apart, sizes[some][:, None], sizes[left[rest]][None, :], least).any(axis=0)]] = True
+            ends.append(left[near])
+            roots.append(np.full(int(near.sum()), root))
+            near |= np.isin(known[left], known[left[near]])
             reached, left = left[near], left[~near]
-            ends.append(reached)
-            roots.append(np.full(len(reached), root))
     none = np.zeros(0, dtype=np.int64)
     return np.concatenate([none, *ends]), np.concatenate([none, *roots])
 
 
+def fingerprint_roots(ws: Workspace, nodes: DataFrame, radius: int, bucket_limit: int) -> DataFrame:
+    """``nodes`` with the least node of each one's component of SimHash fingerprints at most ``radius`` bits apart as ``root``."""
+    first = ws.table(nodes.groupBy("fp").agg(F.min("node").alias("first"), F.count("*").alias("n")))
+    roots = connected_components(ws, near_links(ws, first.select("fp"), radius, bucket_limit))
+    classes = ws.table(component_least(ws, first, roots, "fp").select("fp", "n", F.col("least").alias("root")))
+    return ws.table(join_groups(nodes, classes, "fp", "n", nodes.count()).drop("n"))
+
+
 def bucket_links(rows: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """(a, b): links of the nodes that share a key in ``rows`` (key, node), compared in memory."""
-    members = F.collect_list(F.struct("node", "sketch", "size")).alias("members")
+    """(a, b): links of the nodes that share a key in ``rows`` (key, node), compared in memory.
+
+    What their fingerprints have linked (``root``) is not compared, nor are buckets that hold nothing else.
+    """
+    members = F.collect_list(F.struct("node", "sketch", "size", "root")).alias("members")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 256):
             a, b = [], []
             for rows in batch.column(0).to_pylist():
                 sketches = np.frombuffer(b"".join(r["sketch"] for r in rows), dtype="<u8").reshape(-1, SKETCH)
-                ends, roots = linked(sketches, np.array([r["size"] for r in rows], dtype=np.float64), least)
+                sizes, known = np.array([r["size"] for r in rows], dtype=np.float64), np.array([r["root"] for r in rows])
+                ends, roots = linked(sketches, sizes, known, least)
                 a += [rows[k]["node"] for k in ends.tolist()]
                 b += [rows[k]["node"] for k in roots.tolist()]
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    told = rows.join(nodes.select("node", "sketch", "size"), "node")
-    return map_rows(told.groupBy("key").agg(members).select("members"), "a long, b long", link)
+    told = rows.join(nodes.select("node", "sketch", "size", "root"), "node")
+    mixed = told.groupBy("key").agg(members, F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    return map_rows(mixed.select("members"), "a long, b long", link)
 
 
 def bounded_buckets(met: DataFrame, limit: int) -> DataFrame:
@@ -145,17 +163,22 @@ def set_name(hashes: np.ndarray, seed: int) -> tuple[int, int]:
 
 
 def shingle_rows(texts: DataFrame, shingle: int, least: float, seed: int) -> DataFrame:
-    """(row, doc_id, node, check, sketch, size, keys): a node is a set of shingles, its keys are its prefix."""
+    """(row, doc_id, node, check, fp, sketch, size, keys): a node is a set of shingles, its keys are its prefix.
+
+    The first word of a set's SimHash sketch is its 64-bit fingerprint.
+    """
     id_type = texts.schema["doc_id"].dataType.simpleString()
     common, counts = common_shingles(texts, shingle)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in small_batches(batches):
-            nodes, sketches, sizes, keys = [], [], [], []
+            nodes, prints, sketches, sizes, keys = [], [], [], [], []
             for text in texts_as_bytes(part.column(2)):
                 hashes = distinct_hashes(text, shingle)
                 nodes.append(set_name(hashes, seed))
-                sketches.append(np.array(majority(hashes, range(100, 100 + SKETCH)), dtype="<u8").tobytes())
+                sketch = majority(hashes, range(100, 100 + SKETCH))
+                prints.append(signed(sketch[0]))
+                sketches.append(np.array(sketch, dtype="<u8").tobytes())
                 sizes.append(len(hashes))
                 keys.append(prefix(hashes, common, counts, least).view(np.int64))
             yield pa.RecordBatch.from_arrays(
@@ -164,14 +187,15 @@ def shingle_rows(texts: DataFrame, shingle: int, least: float, seed: int) -> Dat
                     part.column(1),
                     pa.array([n for n, _ in nodes], pa.int64()),
                     pa.array([c for _, c in nodes], pa.int64()),
+                    pa.array(prints, pa.int64()),
                     pa.array(sketches, pa.binary()),
                     pa.array(sizes, pa.int64()),
                     pa.array(keys, pa.list_(pa.int64())),
                 ],
-                ["row", "doc_id", "node", "check", "sketch", "size", "keys"],
+                ["row", "doc_id", "node", "check", "fp", "sketch", "size", "keys"],
             )
 
-    schema = f"row {ROW}, doc_id {id_type}, node long, check long, sketch binary, size long, keys array<long>"
+    schema = f"row {ROW}, doc_id {id_type}, node long, check long, fp long, sketch binary, size long, keys array<long>"
     return map_rows(texts.select("row", "doc_id", "text"), schema, work)
 
 
@@ -186,7 +210,7 @@ def shingle_nodes(ws: Workspace, texts: DataFrame, shingle: int, least: float) -
         rows = ws.table(shingle_rows(texts, shingle, least, seed))
         nodes = ws.table(
             rows.groupBy("node").agg(
-                F.min(first).alias("first"), F.first("sketch").alias("sketch"), F.first("size").alias("size"),
+                F.min(first).alias("first"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch"), F.first("size").alias("size"),
                 (F.min("check") == F.max("check")).alias("sure"),
             )
         )
@@ -280,12 +304,17 @@ def verified_links(
 
 
 def near_classes(
-    ws: Workspace, docs: Rows, shingle: int, similarity: float, bucket_limit: int, group_bytes: int, id_col: str, text_col: str
+    ws: Workspace, docs: Rows, shingle: int, similarity: float, radius: int, bucket_limit: int, group_bytes: int, id_col: str, text_col: str
 ) -> DataFrame:
-    """(node, first, least): each distinct set of shingles with its first text and that of its group of near copies."""
+    """(node, first, least): each distinct set of shingles with its first text and that of its group of near copies.
+
+    Fingerprints link sets first; prefixes add what lies beyond their radius, and the sets decide on all of it.
+    """
     texts = docs.texts(id_col, text_col)
     rows, nodes = shingle_nodes(ws, texts, shingle, similarity)
-    loose = connected_components(ws, prefix_links(ws, rows, nodes, similarity / 2, bucket_limit))
+    nodes = fingerprint_roots(ws, nodes, radius, bucket_limit)
+    near = nodes.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    loose = connected_components(ws, near.unionAll(prefix_links(ws, rows, nodes, similarity / 2, bucket_limit)))
     links = verified_links(ws, texts, nodes, loose, shingle, similarity, group_bytes)
     return component_least(ws, nodes.select("node", "first"), connected_components(ws, links), "node")
 
@@ -295,6 +324,7 @@ def drop_near(
     *,
     shingle: int = 5,
     similarity: float = 0.8,
+    radius: int = 4,
     bucket_limit: int = 16384,
     group_bytes: int = 16 << 20,
     id_col: str = "doc_id",
@@ -303,9 +333,11 @@ def drop_near(
     """The rows of ``docs``, one of each group of near copies; all columns are kept, whatever their names.
 
     Near copies have sets of ``shingle``-word shingles with a Jaccard similarity
-    of ``similarity`` or more, by the sets themselves: sketches only part what
-    is far below, at half of it (some nine standard errors).  All of them are
-    candidates, as their prefixes share a shingle.  Groups are connected
+    of ``similarity`` or more, by the sets themselves.  Candidates are sets whose
+    SimHash fingerprints are at most ``radius`` bits apart, found through covering
+    masks, and, as that similarity allows more bits, those beyond whose prefixes
+    share a shingle, as all such sets do; of the latter sketches part what is far
+    below, at half of it (some nine standard errors).  Groups are connected
     components; the row with the smallest id stays (null ids last; of rows that
     repeat it the first).  Texts without words, null ones too, are alike; a text
     of fewer words is one shingle; repeated rows are near copies; very long
@@ -313,6 +345,6 @@ def drop_near(
     """
     rows = addressed(docs)
     with Workspace(docs.sparkSession) as ws:
-        classes = near_classes(ws, rows, shingle, similarity, bucket_limit, group_bytes, id_col, text_col)
+        classes = near_classes(ws, rows, shingle, similarity, radius, bucket_limit, group_bytes, id_col, text_col)
         kept = ws.deliver(classes.where("first = least").select(F.col("least.row").alias("row")))
     return rows.keep(kept)
